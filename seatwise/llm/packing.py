@@ -158,33 +158,32 @@ def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -
     return out
 
 
-class Places:
-    """Where the n-th piece of each length goes: sequence and offset. Bounded by the configurations."""
-
-    def __init__(self, plan: list[tuple[np.ndarray, int]], capacity: int):
-        slots: dict[int, list[tuple[int, int, int, int]]] = {}
-        base = 0
-        for used, times in plan:
-            offset = 0
-            for length in np.flatnonzero(used)[::-1]:
-                slots.setdefault(int(length), []).append((times * int(used[length]), base, int(used[length]), offset))
-                offset += int(used[length] * length)
-            base += times
-        self.sequences = base
-        self.slots = {k: (np.concatenate([[0], np.cumsum([x[0] for x in v])]), np.array([x[1:] for x in v], np.int64)) for k, v in slots.items()}
-
-    def of(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-        order = np.argsort(length, kind="stable")
-        edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[a:b]
-            own = int(length[rows[0]])
-            ends, table = self.slots[own]
-            k = np.searchsorted(ends, number[rows], "right") - 1
-            copy, place = np.divmod(number[rows] - ends[k], table[k, 1])
-            sequence[rows], offset[rows] = table[k, 0] + copy, table[k, 2] + place * own
-        return sequence, offset
+def slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length: the ends of its ranges of piece numbers, and each range's first sequence, pieces per sequence and offset."""
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
+    base = 0
+    for used, times in plan:
+        offset = 0
+        for length in np.flatnonzero(used)[::-1]:
+            found.setdefault(int(length), []).append((times * int(used[length]), base, int(used[length]), offset))
+            offset += int(used[length] * length)
+        base += times
+    return {k: (np.concatenate([[0], np.cumsum([x[0] for x in v])]), np.array([x[1:] for x in v], np.int64)) for k, v in found.items()}
+
+
+def place(plan: dict, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of the number-th piece of each length."""
+    sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+    order = np.argsort(length, kind="stable")
+    edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        rows = order[a:b]
+        own = int(length[rows[0]])
+        ends, table = plan[own]
+        k = np.searchsorted(ends, number[rows], "right") - 1
+        copy, at = np.divmod(number[rows] - ends[k], table[k, 1])
+        sequence[rows], offset[rows] = table[k, 0] + copy, table[k, 2] + at * own
+    return sequence, offset
 
 
 def _placed(places):
@@ -192,7 +191,7 @@ def _placed(places):
         for batch in batches:
             names = batch.schema.names
             length, number = (batch.column(names.index(x)).to_numpy(zero_copy_only=False) for x in ("length", "number"))
-            sequence, offset = places.value.of(length, number)
+            sequence, offset = place(places.value, length, number)
             keep = [x for x in names if x != "number"]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(x)) for x in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
@@ -219,7 +218,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # capacity rows at most
         histogram[length] = n
-    places = docs.sparkSession.sparkContext.broadcast(Places(configurations(histogram, capacity), capacity))
+    places = docs.sparkSession.sparkContext.broadcast(slots(configurations(histogram, capacity)))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")

@@ -1,8 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, mixing, packing, warc
+from . import chat, exact_dedup, licenses, line_dedup, mixing, packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op3_quality": quality.op3_quality,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_chat": chat.op7_chat,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
