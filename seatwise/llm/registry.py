@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, licenses, line_dedup, mixing, packing, quality, simhash, warc
+from . import chat, exact_dedup, licenses, line_dedup, lm, mixing, packing, quality, simhash, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_lm_score": lm.op2_lm_score,
     "op3_quality": quality.op3_quality,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash": simhash.op5_simhash,
