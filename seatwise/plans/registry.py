@@ -1,12 +1,18 @@
-"""Queries over the provided tables and their SQL."""
+"""Queries over the provided tables and their SQL. Keys start with the ids of the operators they cover."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ingest, prediction, scalars, tables
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (scalars, tables, prediction, ingest):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    """For every open seat of the target term: the likeliest holders, and the share of somebody new."""
+    return prediction.predict(spark, sf_dir)
