@@ -56,7 +56,7 @@ def votes(scored: DataFrame, weights: dict[str, float], vote: dict = VOTE) -> Da
     points = F.lit(0.0)
     ranked = scored
     for k, w in live.items():
-        place = F.row_number().over(Window.partitionBy(*SEAT).orderBy(F.col(k).desc_nulls_last(), "cand_seq"))
+        place = F.row_number().over(Window.partitionBy(*SEAT).orderBy(F.col(k).desc_nulls_last(), "cand_seq", "prof_key"))
         ranked = ranked.withColumn(f"__{k}", place)
         points = points + F.when(F.col(f"__{k}") <= vote["depth"], w * (vote["depth"] + 1 - F.col(f"__{k}") + vote["pad"])).otherwise(0.0)
     seat = Window.partitionBy(*SEAT)
@@ -78,7 +78,7 @@ def posterior(scored: DataFrame, novelty: DataFrame, temperature: float = 1.0) -
     """prob of each candidate and of somebody new, ranked: the novelty row comes last among equals."""
     known = softmax(scored, "score", temperature).join(novelty, KEY).select(*SEAT, "prof_key", "cand_seq", (F.col("share") * (1 - F.col("novelty"))).alias("prob"))
     new = scored.select(*SEAT).distinct().join(novelty, KEY).select(*SEAT, F.lit(NOVEL).alias("prof_key"), F.lit(None).cast("long").alias("cand_seq"), F.col("novelty").alias("prob"))
-    by = Window.partitionBy(*SEAT).orderBy(F.desc("prob"), F.col("cand_seq").asc_nulls_last())
+    by = Window.partitionBy(*SEAT).orderBy(F.desc("prob"), F.col("cand_seq").asc_nulls_last(), "prof_key")
     return known.unionByName(new).withColumn("rank", F.row_number().over(by))
 
 
@@ -89,7 +89,7 @@ def shortlist(post: DataFrame, limit: int = 5, least: float = LEAST_SHARE) -> Da
 
 def first_guesses(scored: DataFrame, per_seat: int = 5, temperature: float = 1.5) -> DataFrame:
     """The heuristic's best few of each seat, with their softmax among themselves: what other seats are then judged by."""
-    by = Window.partitionBy(*SEAT).orderBy(F.desc("heuristic"), "cand_seq")
+    by = Window.partitionBy(*SEAT).orderBy(F.desc("heuristic"), "cand_seq", "prof_key")
     few = scored.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= per_seat)
     return softmax(few, "heuristic", temperature).select(*SEAT, "family", "prof_key", "cand_seq", F.col("share").alias("probability"))
 
@@ -97,7 +97,7 @@ def first_guesses(scored: DataFrame, per_seat: int = 5, temperature: float = 1.5
 def confidence(post: DataFrame, agree: DataFrame, top1: float) -> DataFrame:
     """Percent by seat from the first share, agreement of models, margin and backtest accuracy."""
     known = post.filter(F.col("prof_key") != NOVEL)
-    by = Window.partitionBy(*SEAT).orderBy(F.desc("prob"), "cand_seq")
+    by = Window.partitionBy(*SEAT).orderBy(F.desc("prob"), "cand_seq", "prof_key")
     first = known.withColumn("second", F.lead("prob").over(by)).withColumn("rn", F.row_number().over(by)).filter("rn = 1")
     at = first.join(agree, [*SEAT, "prof_key"], "left")
     raw = 0.42 * F.col("prob") + 0.32 * F.coalesce("agree", F.lit(0.0)) + 0.16 * F.greatest(F.lit(0.0), F.col("prob") - F.coalesce("second", F.lit(0.0))) + 0.1 * top1
@@ -119,7 +119,7 @@ def agreement(picks: DataFrame, models: list[str]) -> DataFrame:
 def ranks(scored: DataFrame, models: list[str]) -> DataFrame:
     """Place of every candidate under every model, long: seat, prof_key, truth, model, rank."""
     out = scored.select(*SEAT, "prof_key", "cand_seq", "truth", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("value")) for m in models))).alias("m"))
-    by = Window.partitionBy(*SEAT, "m.model").orderBy(F.coalesce("m.value", F.lit(0.0)).desc(), "cand_seq")
+    by = Window.partitionBy(*SEAT, "m.model").orderBy(F.coalesce("m.value", F.lit(0.0)).desc(), "cand_seq", "prof_key")
     return out.withColumn("rank", F.row_number().over(by)).select(*SEAT, "prof_key", "truth", F.col("m.model").alias("model"), "rank")
 
 

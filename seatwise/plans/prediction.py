@@ -86,7 +86,7 @@ PREDICT_SQL = f"""{TERM_SQL}, {FEATURES_SQL}, {HEURISTIC_SQL}, soft AS (
   SELECT course_code, target, section, prof_key, cand_seq, e / sum(e) OVER (PARTITION BY course_code, target, section) * (1 - novelty) AS prob FROM soft JOIN novelty USING (course_code, target)
   UNION ALL SELECT DISTINCT course_code, target, section, '__NEW_OR_UNKNOWN__', CAST(NULL AS BIGINT), novelty FROM scored JOIN novelty USING (course_code, target)
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY course_code, target, section ORDER BY prob DESC, cand_seq NULLS LAST) AS rank FROM post
+  SELECT *, row_number() OVER (PARTITION BY course_code, target, section ORDER BY prob DESC, cand_seq NULLS LAST, prof_key) AS rank FROM post
 )
 SELECT course_code, target, section, prof_key, round(CAST(prob AS DOUBLE), {DIGITS}) AS prob, CAST(rank AS INT) AS rank FROM placed WHERE rank <= 5 AND (rank = 1 OR prob >= 0.005)"""
 
@@ -132,7 +132,7 @@ def first_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARTNER_SQL = f"""{GUESSES_SQL}, {PAIRS_SQL}, pairing2 AS (
   SELECT s.course_code, s.target, s.section, s.prof_key, g.prof_key AS g_prof, g.probability AS p, CASE WHEN coalesce(p_seat, 0) > 0 THEN p_seat ELSE coalesce(p_family, 0) END AS cond,
-    least(1, coalesce(together / least(x.active, y.active), 0)) AS pair, coalesce(p_bundle, 0) AS bun, g.prof_key = s.prof_key AS same
+    least(1, coalesce(together, 0) / least(x.active, y.active)) AS pair, coalesce(p_bundle, 0) AS bun, g.prof_key = s.prof_key AS same
   FROM scored s JOIN guesses g ON g.course_code = s.course_code AND g.target = s.target AND g.section <> s.section AND g.probability >= 0.05
   LEFT JOIN seat_seat a ON a.course_code = s.course_code AND a.target = s.target AND a.g_section = g.section AND a.g_prof = g.prof_key AND a.section = s.section AND a.prof_key = s.prof_key
   LEFT JOIN fam_fam f ON f.course_code = s.course_code AND f.target = s.target AND f.g_family = g.family AND f.g_prof = g.prof_key AND f.family = s.family AND f.prof_key = s.prof_key
@@ -173,7 +173,7 @@ def specialists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANKS_SQL = f"""ranks AS (
-  SELECT course_code, target, section, prof_key, truth, model, row_number() OVER (PARTITION BY course_code, target, section, model ORDER BY value DESC, cand_seq) AS rank
+  SELECT course_code, target, section, prof_key, truth, model, row_number() OVER (PARTITION BY course_code, target, section, model ORDER BY value DESC, cand_seq, prof_key) AS rank
   FROM (SELECT course_code, target, section, prof_key, cand_seq, truth, unnest([{", ".join(f"'{m}'" for m in MODELS)}]) AS model, unnest([{", ".join(f"round({m}, 9)" for m in MODELS)}]) AS value FROM full1)
 )"""
 
@@ -194,7 +194,7 @@ BLEND_SQL = f"""blended AS (
   SELECT *, round(({" + ".join(f"{w} * {m if m == 'heuristic' else _LOGIT.format(m)}" for m, w in BLEND.items())}) / {sum(BLEND.values())}, 9) AS score0 FROM full1
 ), ballots AS (
   SELECT *, {" + ".join(f"CASE WHEN r_{m} <= 5 THEN {w} * (7 - r_{m}) ELSE 0 END" for m, w in BLEND.items())} AS borda
-  FROM (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY course_code, target, section ORDER BY round({m}, 9) DESC, cand_seq) AS r_{m}" for m in BLEND)} FROM blended)
+  FROM (SELECT *, {", ".join(f"row_number() OVER (PARTITION BY course_code, target, section ORDER BY round({m}, 9) DESC, cand_seq, prof_key) AS r_{m}" for m in BLEND)} FROM blended)
 ), voted AS (
   SELECT *, CASE WHEN count(*) OVER s < 2 THEN score0 ELSE 0.6 * score0 + 0.4 * greatest(0.2, max(score0) OVER s - min(score0) OVER s) * borda / greatest(1e-9, max(borda) OVER s) END AS score
   FROM ballots WINDOW s AS (PARTITION BY course_code, target, section)
@@ -225,7 +225,7 @@ POST_SQL = """post AS (
 
 
 @query("E09_W08_confidence", f"""{TERM_SQL}, {SPECIAL_SQL}, {RANKS_SQL}, {BLEND_SQL}, {POST_SQL}, placed AS (
-  SELECT *, row_number() OVER s AS rn, lead(prob) OVER s AS second FROM post WINDOW s AS (PARTITION BY course_code, target, section ORDER BY prob DESC, cand_seq)
+  SELECT *, row_number() OVER s AS rn, lead(prob) OVER s AS second FROM post WINDOW s AS (PARTITION BY course_code, target, section ORDER BY prob DESC, cand_seq, prof_key)
 ), agree AS (SELECT course_code, target, section, prof_key, count(*) / {len(BLEND)} AS agree FROM ranks WHERE rank = 1 AND model IN ({", ".join(f"'{m}'" for m in BLEND)}) GROUP BY ALL)
 SELECT course_code, target, section, prof_key, round(greatest(0.05, least(0.99, 0.42 * prob + 0.32 * coalesce(agree, 0) + 0.16 * greatest(0, prob - coalesce(second, 0)) + 0.05)) * 100, 1) AS confidence
 FROM placed LEFT JOIN agree USING (course_code, target, section, prof_key) WHERE rn = 1""")

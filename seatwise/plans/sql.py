@@ -53,8 +53,8 @@ pairing AS (
     LEFT JOIN by_room USING (course_code, target, prof_key, seat_room) LEFT JOIN memory USING (course_code, target, section)
 ), features AS (
   SELECT course_code, target, section, family, kind, prof_key, cand_seq, truth,
-    least(1, weight / total_weight) AS freq_decay, w_sem / weight AS same_sem_share, coalesce(least(1, w_section / weight), 0) AS section_exact, coalesce(least(1, w_family / weight), 0) AS section_family,
-    list_max(list_transform(list_zip(dj, tj), lambda z: z[1] * z[2])) AS slot_affinity, list_max(dj) AS day_affinity, list_max(tj) AS time_affinity, coalesce(least(1, w_room / weight), 0) AS room_affinity,
+    least(1, weight / total_weight) AS freq_decay, w_sem / weight AS same_sem_share, least(1, coalesce(w_section, 0) / weight) AS section_exact, least(1, coalesce(w_family, 0) / weight) AS section_family,
+    list_max(list_transform(list_zip(dj, tj), lambda z: z[1] * z[2])) AS slot_affinity, list_max(dj) AS day_affinity, list_max(tj) AS time_affinity, least(1, coalesce(w_room, 0) / weight) AS room_affinity,
     pow(0.5, gap / 4.0) AS recency, len(list_intersect(recent, terms)) / len(recent) AS streak, least(1, avg_load / 4) AS load_share, least(1, tenure) AS tenure, 0.0 AS verified,
     CASE WHEN last_same_prof = prof_key AND gap < 4 THEN 1.0 ELSE 0.0 END AS last_same_sem,
     CASE WHEN last_prof IS NOT NULL AND n_terms <= 2 AND gap <= 2 THEN least(1, 0.35 + CASE WHEN vacant THEN 0.45 ELSE 0 END + CASE WHEN turnover >= 0.45 THEN 0.2 ELSE 0 END) ELSE 0.0 END AS newcomer_fit,
@@ -83,6 +83,6 @@ bundle AS (SELECT course_code, target, prof_key, g_family, family, hit / base AS
   SELECT o.course_code, o.target, o.prof_key, o.family AS g_family, s.family, sum(o.w) AS hit FROM ev o JOIN ev s ON o.course_code = s.course_code AND o.target = s.target AND o.term = s.term AND o.prof_key = s.prof_key AND o.section <> s.section GROUP BY ALL)
   JOIN (SELECT course_code, target, prof_key, family AS g_family, sum(w) AS base FROM ev GROUP BY ALL) USING (course_code, target, prof_key, g_family))"""
 
-GUESSES_SQL = """few AS (SELECT *, row_number() OVER (PARTITION BY course_code, target, section ORDER BY heuristic DESC, cand_seq) AS rn FROM scored QUALIFY rn <= 5),
+GUESSES_SQL = """few AS (SELECT *, row_number() OVER (PARTITION BY course_code, target, section ORDER BY heuristic DESC, cand_seq, prof_key) AS rn FROM scored QUALIFY rn <= 5),
 guesses AS (SELECT course_code, target, section, family, prof_key, cand_seq, e / sum(e) OVER (PARTITION BY course_code, target, section) AS probability
   FROM (SELECT *, exp((heuristic - max(heuristic) OVER (PARTITION BY course_code, target, section)) / 1.5) AS e FROM few))"""
