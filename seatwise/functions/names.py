@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens that carry no identity, suffixes, and particles that stay with the surname.
@@ -132,18 +132,37 @@ def best_surname(variants: pd.Series, surname: pd.Series) -> pd.Series:
     return pd.Series([max((jaro_winkler_of(v, s or "") for v in vs), default=0.0) for vs, s in zip(variants, surname, strict=True)], dtype="float64")
 
 
-def similarity(query: Column, known: Column) -> Column:
-    """How alike a typed and a known name are, between 0 and 1: surname .5, whole .15, tokens .15, sound .1, initials .1."""
-    q, k = parse(query), parse(known)
-    q_all, k_all = F.concat(q["surname"], q["given"]), F.concat(k["surname"], k["given"])
-    q_flat, k_flat = F.array_join(q_all, ""), F.array_join(k_all, "")
-    surname, variants = F.array_join(k["surname"], ""), surname_variants(query)
-    by_edits = F.coalesce(F.array_max(F.transform(variants, lambda v: levenshtein_ratio(v, surname))), F.lit(0.0))
-    sounds = F.exists(variants, lambda v: F.soundex(F.regexp_replace(v, "[^A-Z]", "")) == F.soundex(F.regexp_replace(surname, "[^A-Z]", ""))) & (surname != "")
-    q_sorted, k_sorted = F.array_join(F.array_sort(q_all), ""), F.array_join(F.array_sort(k_all), "")
-    whole = F.greatest(jaro_winkler(q_flat, k_flat), levenshtein_ratio(q_flat, k_flat), jaro_winkler(q_sorted, k_sorted), levenshtein_ratio(q_sorted, k_sorted))
+# Marked so that the optimizer keeps them where they stand, and never moves them into a join's condition.
+jaro_winkler, best_surname = jaro_winkler.asNondeterministic(), best_surname.asNondeterministic()
+
+
+def with_similarity(rows: DataFrame, query: str, known: str, to: str = "similarity") -> DataFrame:
+    """Adds how alike a typed and a known name are, 0 to 1: surname .5, whole .15, tokens .15, sound .1, initials .1.
+
+    What the vectorised functions need is put into columns first, so that each is parsed once.
+    """
+    q, k = parse(F.col(query)), parse(F.col(known))
+    at = rows.withColumn("__q", q).withColumn("__k", k).withColumn("__variants", surname_variants(F.col(query)))
+    at = at.withColumn("__qa", F.concat("__q.surname", "__q.given")).withColumn("__ka", F.concat("__k.surname", "__k.given"))
+    flat, in_order = (lambda c: F.array_join(c, "")), (lambda c: F.array_join(F.array_sort(c), ""))
+    at = at.withColumns({"__qf": flat("__qa"), "__kf": flat("__ka"), "__qs": in_order("__qa"), "__ks": in_order("__ka"), "__surname": flat("__k.surname")})
+    at = at.withColumn("__jw", best_surname("__variants", "__surname")).withColumn("__jf", jaro_winkler("__qf", "__kf")).withColumn("__js", jaro_winkler("__qs", "__ks"))
+    surname = F.col("__surname")
+    code = lambda v: F.soundex(F.regexp_replace(v, "[^A-Z]", ""))
+    by_edits = F.coalesce(F.array_max(F.transform("__variants", lambda v: levenshtein_ratio(v, surname))), F.lit(0.0))
+    sounds = (F.exists("__variants", lambda v: code(v) == code(surname)) & (surname != "")).cast("int")
+    whole = F.greatest("__jf", "__js", levenshtein_ratio(F.col("__qf"), F.col("__kf")), levenshtein_ratio(F.col("__qs"), F.col("__ks")))
     first = lambda xs: F.transform(xs, lambda t: F.substring(t, 1, 1))
-    initials = F.when(F.size(k["given"]) == 0, 0.5).when(F.arrays_overlap(first(q_all), first(k["given"])), 1.0).otherwise(0.35)
-    score = 0.5 * F.greatest(best_surname(variants, surname), by_edits) + 0.15 * whole + 0.15 * token_set_ratio(query, known) + 0.1 * sounds.cast("int") + 0.1 * initials
-    equal = canonical_key(query) == canonical_key(known)
-    return F.when((q_flat == "") | (k_flat == ""), F.lit(0.0)).when(equal, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    initials = F.when(F.size("__k.given") == 0, 0.5).when(F.arrays_overlap(first(F.col("__qa")), first(F.col("__k.given"))), 1.0).otherwise(0.35)
+    score = 0.5 * F.greatest(F.col("__jw"), by_edits) + 0.15 * whole + 0.15 * token_set_ratio(F.col(query), F.col(known)) + 0.1 * sounds + 0.1 * initials
+    equal = canonical_key(F.col(query)) == canonical_key(F.col(known))
+    out = F.when((F.col("__qf") == "") | (F.col("__kf") == ""), F.lit(0.0)).when(equal, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    kept = [c for c in rows.columns if c != to]
+    return at.withColumn(to, out).select(*kept, to)
+
+
+def best_matches(queries: DataFrame, known: DataFrame, query: str, name: str, on: list[str], limit: int = 5, least: float = 0.4) -> DataFrame:
+    """The best known names for each typed name, among those that agree in the columns on; a similarity join by equality."""
+    scored = with_similarity(queries.join(known, on), query, name).filter(F.col("similarity") >= least)
+    by = Window.partitionBy(*on, query).orderBy(F.desc("similarity"), name)
+    return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)

@@ -59,8 +59,8 @@ def code_in_text(text: Column, want: Column) -> Column:
 
 def format_percent(p: Column) -> Column:
     """A share as text: whole percent from 10 on, one decimal below, and bounds for the very large and small."""
-    percent = p * 100
+    percent = F.round(p * 100, 7)
     return (
         F.when(percent >= 99.95, ">99.9%").when(percent >= 10, F.concat(F.round(percent, 0).cast("int").cast("string"), F.lit("%")))
-        .when(percent >= 0.1, F.concat(F.format_number(percent, 1), F.lit("%"))).when(percent > 0, "<0.1%").otherwise("0%")
+        .when(percent >= 0.1, F.format_string("%.1f%%", F.round(percent, 1))).when(percent > 0, "<0.1%").otherwise("0%")
     )
