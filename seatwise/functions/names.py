@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tokens that carry no identity, suffixes, and particles that stay with the surname.
 TITLES = ["DR", "DRA", "PROF", "PROFESSOR", "ASSOC", "ASSOCIATE", "ASST", "ASSISTANT", "ENGR", "ATTY", "ARCH", "MR", "MRS", "MS", "SIR", "MAAM", "MA'AM", "INSTR", "INSTRUCTOR", "LECTURER", "PHD", "MD", "DVM", "CPA", "RN", "MSC", "MS."]
@@ -121,12 +122,12 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_of(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_surname(variants: pd.Series, surname: pd.Series) -> pd.Series:
     """The best Jaro-Winkler value of any variant against the surname."""
     return pd.Series([max((jaro_winkler_of(v, s or "") for v in vs), default=0.0) for vs, s in zip(variants, surname, strict=True)], dtype="float64")
