@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cohorts, ensemble, history
+from ..operators import cohorts, ensemble, history, learn, vectors
 from .adapter import BACKTEST, TARGET, offerings
 from .sql import FEATURES_SQL, GUESSES_SQL, HEURISTIC_SQL, PAIRS_SQL, evidence_sql
 
@@ -246,3 +245,50 @@ SELECT CAST(temperature AS DOUBLE) AS temperature, round(avg(-ln(greatest(1e-6,
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, ev, seats = _parts(spark, sf_dir, BACKTEST)
     return _rounded(ensemble.calibrate(_blended(seats, ev), seats, history.novelty_rate(rows, _targets(spark, BACKTEST))))
+
+
+@query("G02_G03_G04_G06_G26_trained")
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models trained on the backtest terms score the target term."""
+    _, ev, seats = _parts(spark, sf_dir, (*BACKTEST, TARGET))
+    return learn.trained_scores(history.features(seats, ev), TARGET)
+
+
+@query("E12_weight_search")
+def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ev, seats = _parts(spark, sf_dir, BACKTEST)
+    models = ["seat_exact", "slot", "recent", "last_exact", "frequent", "cooccur", "bundle"]
+    rows = _full(seats, ev).withColumn("label", (F.col("prof_key") == F.col("truth")).cast("double"))
+    return learn.search_weights(rows.select("course_code", "target", "section", "prof_key", "cand_seq", "label", *models), models)
+
+
+@query("R01_R03_R04_lineup")
+def lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tables
+
+    rows, ev, seats = _parts(spark, sf_dir)
+    scored = history.heuristic(history.features(seats, ev)).withColumn("score", F.col("heuristic"))
+    post = ensemble.posterior(scored, history.novelty_rate(rows, _targets(spark, (TARGET,))), 1.5).filter(F.col("prof_key") != ensemble.NOVEL)
+    return learn.lineup(post, tables.capacity(spark, sf_dir), tables.conflict_groups(spark, sf_dir))
+
+
+@query("G05_naive_bayes", f"""{FOLD_SQL}, {FEATURES_SQL}, x AS (SELECT course_code, target, section, prof_key, CASE WHEN prof_key = truth THEN 1 ELSE 0 END AS label, section_exact AS a, slot_affinity AS b, recency AS c FROM features),
+f AS (SELECT label, count(*) AS n, avg(a) AS ma, var_pop(a) AS va, avg(b) AS mb, var_pop(b) AS vb, avg(c) AS mc, var_pop(c) AS vc FROM x GROUP BY label),
+d AS (SELECT x.course_code, x.target, x.section, x.prof_key, f.label, ln(n / (SELECT sum(n) FROM f)) - 0.5 * ln(2 * pi() * greatest(va, 1e-4)) - pow(a - ma, 2) / (2 * greatest(va, 1e-4)) - 0.5 * ln(2 * pi() * greatest(vb, 1e-4)) - pow(b - mb, 2) / (2 * greatest(vb, 1e-4))
+  - 0.5 * ln(2 * pi() * greatest(vc, 1e-4)) - pow(c - mc, 2) / (2 * greatest(vc, 1e-4)) AS l FROM x, f)
+SELECT course_code, target, section, prof_key, round(CAST(1 / (1 + exp(greatest(-700, least(700, max(l) FILTER (label = 0) - max(l) FILTER (label = 1))))) AS DOUBLE), 6) AS p FROM d GROUP BY ALL""")
+def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _closed(spark, sf_dir, vectors.naive_bayes)
+
+
+@query("G08_mean_gap", f"""{FOLD_SQL}, {FEATURES_SQL}, x AS (SELECT course_code, target, section, prof_key, prof_key = truth AS label, section_exact AS a, slot_affinity AS b, recency AS c FROM features),
+g AS (SELECT avg(a) FILTER (label) - avg(a) FILTER (NOT label) AS ga, avg(b) FILTER (label) - avg(b) FILTER (NOT label) AS gb, avg(c) FILTER (label) - avg(c) FILTER (NOT label) AS gc FROM x)
+SELECT course_code, target, section, prof_key, round(CAST(1 / (1 + exp(-(ga * a + gb * b + gc * c))) AS DOUBLE), 6) AS p FROM x, g""")
+def mean_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _closed(spark, sf_dir, vectors.mean_gap)
+
+
+def _closed(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
+    _, ev, seats = _parts(spark, sf_dir, BACKTEST)
+    rows = history.features(seats, ev).withColumn("label", (F.col("prof_key") == F.col("truth")).cast("int"))
+    return _rounded(fit(rows, ["section_exact", "slot_affinity", "recency"], "label").select("course_code", "target", "section", "prof_key", "p"))
