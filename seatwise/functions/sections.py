@@ -44,7 +44,7 @@ def course_key(code: Column) -> Column:
 
 def code_matches(row: Column, want: Column) -> Column:
     """Same code, or the wanted one followed by anything but a digit. Empty codes pass."""
-    a, b = (F.regexp_replace(F.upper(F.coalesce(x, F.lit(""))), r"[^A-Z0-9]", "") for x in (row, want))
+    a, b = (F.regexp_replace(F.upper(F.coalesce(x, F.lit(""))), r"\s+", "") for x in (row, want))
     after = F.substring(a, F.length(b) + 1, F.lit(1))
     return (a == "") | (b == "") | (a == b) | (F.startswith(a, b) & ~after.rlike(r"^\d"))
 

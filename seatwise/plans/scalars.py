@@ -178,12 +178,12 @@ def percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select("l_orderkey", "l_linenumber", "l_tax", sections.format_percent(F.col("l_tax") * F.col("l_discount")).alias("text"))
 
 
-@query("P10_P11_P12_code_matches", """WITH c AS (SELECT p_partkey, p_brand || (p_partkey % 3) AS row_code, regexp_replace(upper(p_brand || (p_partkey % 3)), '[^A-Z0-9]', '', 'g') AS a FROM part)
-SELECT p_partkey, a = 'BRAND1' OR (starts_with(a, 'BRAND1') AND NOT regexp_matches(substr(a, 7, 1), '^[0-9]')) AS dom, starts_with(a, 'BRAND1') AS api, strpos(upper(row_code), 'D#1') > 0 AND NOT regexp_matches(substr(upper(row_code), strpos(upper(row_code), 'D#1') - 1, 1), '[A-Z]') AS in_text FROM c""")
+@query("P10_P11_P12_code_matches", """WITH c AS (SELECT p_partkey, p_brand || (p_partkey % 3) AS row_code, regexp_replace(upper(p_brand || (p_partkey % 3)), '\\s+', '', 'g') AS a FROM part)
+SELECT p_partkey, a = 'BRAND#1' OR (starts_with(a, 'BRAND#1') AND NOT regexp_matches(substr(a, 8, 1), '^[0-9]')) AS dom, starts_with(a, 'BRAND#1') AS api, strpos(upper(row_code), 'D#1') > 0 AND NOT regexp_matches(substr(upper(row_code), strpos(upper(row_code), 'D#1') - 1, 1), '[A-Z]') AS in_text FROM c""")
 def code_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.col("p_brand"), (F.col("p_partkey") % 3).cast("string")).alias("code"))
-    tight = F.regexp_replace(F.upper("code"), "[^A-Z0-9]", "")
-    return part.select("p_partkey", sections.code_matches(F.col("code"), F.lit("Brand#1")).alias("dom"), F.startswith(tight, F.lit("BRAND1")).alias("api"), sections.code_in_text(F.col("code"), F.lit("D#1")).alias("in_text"))
+    tight = F.regexp_replace(F.upper("code"), r"\s+", "")
+    return part.select("p_partkey", sections.code_matches(F.col("code"), F.lit("Brand#1")).alias("dom"), F.startswith(tight, F.lit("BRAND#1")).alias("api"), sections.code_in_text(F.col("code"), F.lit("D#1")).alias("in_text"))
 
 
 @query("F01_F02_F06_math", """SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-greatest(-30, least(30, l_quantity - 25)))), 6) AS sigmoid, round(ln(greatest(1e-6, least(1 - 1e-6, l_discount)) / (1 - greatest(1e-6, least(1 - 1e-6, l_discount)))), 6) AS logit,
