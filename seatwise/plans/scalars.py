@@ -128,26 +128,25 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw_names(spark, sf_dir).select("p_partkey", "raw", F.array_join(p["surname"], " ").alias("surname"), F.array_join(p["given"], " ").alias("given"), names.canonical_key(raw).alias("key"), names.display_name(raw).alias("display"), F.array_join(names.surname_variants(raw), ",").alias("variants"))
 
 
-@query("X08_X09_X16_edit_similarity", f"""WITH a AS (SELECT p_partkey, p_name AS raw, {_TOKENS.replace('raw', 'p_name')} AS tk FROM part WHERE p_partkey % 7 = 0), b AS (SELECT p_partkey AS other, p_name AS name_b, {_TOKENS.replace('raw', 'p_name')} AS tk_b FROM part WHERE p_partkey % 11 = 0)
-SELECT p_partkey, other, CAST(levenshtein(raw, name_b) AS INT) AS distance, round(CAST(1 - levenshtein(raw, name_b) / greatest(length(raw), length(name_b)) AS DOUBLE), 6) AS ratio,
-  round(CAST(CASE WHEN len(tk) = 0 OR len(tk_b) = 0 THEN 0 ELSE 2.0 * len(list_intersect(list_distinct(tk), list_distinct(tk_b))) / (len(list_distinct(tk)) + len(list_distinct(tk_b))) END AS DOUBLE), 6) AS dice FROM a, b""")
+@query("X08_X09_X16_edit_similarity", f"""WITH n AS (SELECT DISTINCT p_brand, p_name AS raw FROM part), a AS (SELECT p_brand, raw, {_TOKENS} AS tk FROM n), b AS (SELECT p_brand, raw AS other, tk AS tk_b FROM a)
+SELECT p_brand, raw AS name, other, CAST(levenshtein(raw, other) AS INT) AS distance, round(CAST(1 - levenshtein(raw, other) / greatest(length(raw), length(other)) AS DOUBLE), 6) AS ratio,
+  round(CAST(CASE WHEN len(tk) = 0 OR len(tk_b) = 0 THEN 0 ELSE 2.0 * len(list_intersect(list_distinct(tk), list_distinct(tk_b))) / (len(list_distinct(tk)) + len(list_distinct(tk_b))) END AS DOUBLE), 6) AS dice FROM a JOIN b USING (p_brand)""")
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a fixed query set of parts (key divisible by 7) with a fixed catalogue (by 11)."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    a = part.filter("p_partkey % 7 = 0").select("p_partkey", F.col("p_name").alias("x"))
-    b = part.filter("p_partkey % 11 = 0").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    return a.crossJoin(b).select("p_partkey", "other", F.levenshtein(x, y).alias("distance"), F.round(names.levenshtein_ratio(x, y), 6).alias("ratio"), F.round(names.token_set_ratio(x, y), 6).alias("dice"))
+    """All pairs of the distinct names of a brand."""
+    a = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.col("p_name").alias("name")).distinct()
+    x, y = F.col("name"), F.col("other")
+    return a.join(a.withColumnRenamed("name", "other"), "p_brand").select("p_brand", "name", "other", F.levenshtein(x, y).alias("distance"), F.round(names.levenshtein_ratio(x, y), 6).alias("ratio"), F.round(names.token_set_ratio(x, y), 6).alias("dice"))
 
 
 @query("X10_X11_X18_name_similarity")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct raw names of a brand with its distinct part names."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    a = part.filter("p_partkey % 37 = 0").select("p_partkey", F.expr(_RAW).alias("query"))
-    b = part.filter("p_partkey % 41 = 0").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("known"))
+    a = part.select("p_brand", F.expr(_RAW).alias("query")).distinct()
+    b = part.select("p_brand", F.col("p_name").alias("known")).distinct()
     q, k = F.col("query"), F.col("known")
-    pairs = a.crossJoin(b).withColumn("jaro_winkler", names.jaro_winkler(q, k)).withColumn("sound", names.name_soundex(q))
-    return names.with_similarity(pairs, "query", "known").drop("query", "known")
+    pairs = a.join(b, "p_brand").withColumn("jaro_winkler", names.jaro_winkler(q, k)).withColumn("sound", names.name_soundex(q))
+    return names.with_similarity(pairs, "query", "known")
 
 
 @query("X19_X20_keys_hashes", r"SELECT p_partkey, trim(regexp_replace(upper(' ' || p_brand || '   ' || p_size || ' '), '\s+', ' ', 'g')) AS course_key, sha256(p_name) AS sha FROM part")
