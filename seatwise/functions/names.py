@@ -140,23 +140,27 @@ jaro_winkler, best_surname = jaro_winkler.asNondeterministic(), best_surname.asN
 def with_similarity(rows: DataFrame, query: str, known: str, to: str = "similarity") -> DataFrame:
     """Adds how alike a typed and a known name are, 0 to 1: surname .5, whole .15, tokens .15, sound .1, initials .1.
 
-    What the vectorised functions need is put into columns first, so that each is parsed once.
+    Each distinct name is parsed once, ahead of the pairing, and joined to the pairs.
     """
-    q, k = parse(F.col(query)), parse(F.col(known))
-    at = rows.withColumn("__q", q).withColumn("__k", k).withColumn("__variants", surname_variants(F.col(query)))
-    at = at.withColumn("__qa", F.concat("__q.surname", "__q.given")).withColumn("__ka", F.concat("__k.surname", "__k.given"))
     flat, in_order = (lambda c: F.array_join(c, "")), (lambda c: F.array_join(F.array_sort(c), ""))
-    at = at.withColumns({"__qf": flat("__qa"), "__kf": flat("__ka"), "__qs": in_order("__qa"), "__ks": in_order("__ka"), "__surname": flat("__k.surname")})
+    q = rows.select(F.col(query).alias("__qn")).distinct().withColumn("__q", parse(F.col("__qn")))
+    q = q.select("__qn", F.concat("__q.surname", "__q.given").alias("__qa"), surname_variants(F.col("__qn")).alias("__variants"), canonical_key(F.col("__qn")).alias("__qk"), F.array_distinct(tokens(F.col("__qn"))).alias("__qt"))
+    k = rows.select(F.col(known).alias("__kn")).distinct().withColumn("__k", parse(F.col("__kn")))
+    k = k.select("__kn", F.concat("__k.surname", "__k.given").alias("__ka"), F.col("__k.given").alias("__kg"), flat("__k.surname").alias("__surname"), canonical_key(F.col("__kn")).alias("__kk"), F.array_distinct(tokens(F.col("__kn"))).alias("__kt"))
+    q = q.withColumn("__qf", flat("__qa")).withColumn("__qs", in_order("__qa"))
+    k = k.withColumn("__kf", flat("__ka")).withColumn("__ks", in_order("__ka"))
+    at = rows.join(q, F.col(query).eqNullSafe(F.col("__qn"))).join(k, F.col(known).eqNullSafe(F.col("__kn")))
     at = at.withColumn("__jw", best_surname("__variants", "__surname")).withColumn("__jf", jaro_winkler("__qf", "__kf")).withColumn("__js", jaro_winkler("__qs", "__ks"))
     surname = F.col("__surname")
     code = lambda v: F.soundex(F.regexp_replace(v, "[^A-Z]", ""))
     by_edits = F.coalesce(F.array_max(F.transform("__variants", lambda v: levenshtein_ratio(v, surname))), F.lit(0.0))
     sounds = (F.exists("__variants", lambda v: code(v) == code(surname)) & (surname != "")).cast("int")
     whole = F.greatest("__jf", "__js", levenshtein_ratio(F.col("__qf"), F.col("__kf")), levenshtein_ratio(F.col("__qs"), F.col("__ks")))
+    dice = F.when((F.size("__qt") == 0) | (F.size("__kt") == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect("__qt", "__kt")) / (F.size("__qt") + F.size("__kt")))
     first = lambda xs: F.transform(xs, lambda t: F.substring(t, 1, 1))
-    initials = F.when(F.size("__k.given") == 0, 0.5).when(F.arrays_overlap(first(F.col("__qa")), first(F.col("__k.given"))), 1.0).otherwise(0.35)
-    score = 0.5 * F.greatest(F.col("__jw"), by_edits) + 0.15 * whole + 0.15 * token_set_ratio(F.col(query), F.col(known)) + 0.1 * sounds + 0.1 * initials
-    equal = canonical_key(F.col(query)) == canonical_key(F.col(known))
+    initials = F.when(F.size("__kg") == 0, 0.5).when(F.arrays_overlap(first(F.col("__qa")), first(F.col("__kg"))), 1.0).otherwise(0.35)
+    score = 0.5 * F.greatest(F.col("__jw"), by_edits) + 0.15 * whole + 0.15 * dice + 0.1 * sounds + 0.1 * initials
+    equal = F.col("__qk") == F.col("__kk")
     out = F.when((F.col("__qf") == "") | (F.col("__kf") == ""), F.lit(0.0)).when(equal, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
     kept = [c for c in rows.columns if c != to]
     return at.withColumn(to, out).select(*kept, to)

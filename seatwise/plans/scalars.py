@@ -134,8 +134,9 @@ SELECT p_brand, raw AS name, other, CAST(levenshtein(raw, other) AS INT) AS dist
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the distinct names of a brand."""
     a = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", F.col("p_name").alias("name")).distinct()
+    b = a.withColumnRenamed("name", "other")
     x, y = F.col("name"), F.col("other")
-    return a.join(a.withColumnRenamed("name", "other"), "p_brand").select("p_brand", "name", "other", F.levenshtein(x, y).alias("distance"), F.round(names.levenshtein_ratio(x, y), 6).alias("ratio"), F.round(names.token_set_ratio(x, y), 6).alias("dice"))
+    return a.join(b, "p_brand").select("p_brand", "name", "other", F.levenshtein(x, y).alias("distance"), F.round(names.levenshtein_ratio(x, y), 6).alias("ratio"), F.round(names.token_set_ratio(x, y), 6).alias("dice"))
 
 
 @query("X10_X11_X18_name_similarity")
