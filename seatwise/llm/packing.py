@@ -222,7 +222,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
-    numbered = salted.withColumn("own", F.row_number().over(own)).join(F.broadcast(base), ["length", "salt"])  # at most (capacity + 1) * SALTS rows
+    numbered = salted.withColumn("own", F.row_number().over(own)).join(base, ["length", "salt"])  # both dealt by length and salt
     numbered = numbered.select("id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("own") - 1 + F.col("base")).alias("number"))
     return numbered.mapInArrow(_placed(places), schema + ", sequence_id long, offset long").withColumnRenamed("id", id_col)
 
