@@ -110,3 +110,36 @@ def time_similarity(a: Column, b: Column) -> Column:
 
 def decay_weight(term: Column, target: Column, half_life: float = HALF_LIFE) -> Column:
     return F.pow(F.lit(0.5), F.abs(distance(term, target)) / float(half_life))
+
+
+#: Words by which labels name a semester.
+SEMESTER_WORDS = {1: ("FIRST", "1ST"), 2: ("SECOND", "2ND"), 3: ("MIDYEAR", "MID-YEAR", "MID YEAR", "SUMMER")}
+
+
+def _upper(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), r"\s+", " "))
+
+
+def matches_term(text: Column, term: Column) -> Column:
+    """Whether a label names the term: its code standing alone, or a word of its semester with its year in some form."""
+    upper, p = _upper(text), parsed(term)
+    alone = F.regexp_like(upper, F.concat(F.lit("(^|[^0-9])"), _text(term), F.lit("([^0-9]|$)")))
+    short = [(p[c] % 100).cast("string") for c in ("start_year", "end_year")]
+    year = upper.contains(p["start_year"].cast("string")) | upper.contains(F.concat_ws("-", *short)) | upper.contains(F.concat(*short))
+    year = year | ((p["semester"] == 3) & upper.contains(p["end_year"].cast("string")))
+    word = F.lit(False)
+    for number, words in SEMESTER_WORDS.items():
+        word = word | ((p["semester"] == number) & upper.rlike("|".join(words)))
+    return (upper != "") & (alone | F.coalesce(word & year, F.lit(False)))
+
+
+def looks_termish(text: Column) -> Column:
+    """Whether a text seems to name some term."""
+    upper = _upper(text)
+    return upper.rlike(r"\b\d{2}[3-9][123]\b\s*[-–]") | upper.rlike(r"(FIRST|SECOND|MID|MIDYEAR|MID-YEAR)\s*(SEMESTER|SEM|YEAR)")
+
+
+def names_one_term(text: Column) -> Column:
+    """Whether a text isn't blank and holds at most one distinct term code."""
+    codes = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(1[2-9]\d[123])\b"), F.lit(1))
+    return (F.trim(F.coalesce(text, F.lit(""))) != "") & (F.size(F.array_distinct(codes)) <= 1)

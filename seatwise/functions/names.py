@@ -171,3 +171,10 @@ def best_matches(queries: DataFrame, known: DataFrame, query: str, name: str, on
     scored = with_similarity(queries.join(known, on), query, name).filter(F.col("similarity") >= least)
     by = Window.partitionBy(*on, query).orderBy(F.desc("similarity"), name)
     return scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+
+
+def suggestions(queries: DataFrame, known: DataFrame, query: str, name: str, on: list[str], least: float = 0.5) -> DataFrame:
+    """A known spelling for each typed name of three characters or more, unless it already is that person's."""
+    long = queries.filter(F.char_length(F.trim(query)) >= 3)
+    best = best_matches(long, known, query, name, on, 1, least)
+    return best.filter(~canonical_key(F.col(query)).eqNullSafe(canonical_key(F.col(name)))).drop("rank")

@@ -126,6 +126,21 @@ def trained_scores(examples: DataFrame, target: int) -> DataFrame:
     return labelled.groupBy("course_code").applyInPandas(fit, schema)
 
 
+def importances(examples: DataFrame) -> DataFrame:
+    """Each feature's share of the gain of a course's forest over the given targets; none for a course with too few rows."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["target", "section", "cand_seq", "prof_key"])
+        y = pdf.label.to_numpy(float)
+        if len(pdf) < LEAST_ROWS or not 0 < y.sum() < len(y):
+            return pd.DataFrame({"course_code": [], "feature": [], "importance": []})
+        _, gains = fit_forest(pdf[FEATURES].to_numpy(float), y, **FOREST)
+        return pd.DataFrame({"course_code": pdf.course_code.iloc[0], "feature": FEATURES, "importance": gains})
+
+    labelled = examples.withColumn("label", (F.col("prof_key") == F.col("truth")).cast("double")).select("course_code", "target", "section", "prof_key", "cand_seq", "label", *FEATURES)
+    return labelled.groupBy("course_code").applyInPandas(fit, "course_code string, feature string, importance double")
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """The column of each row in an assignment of least total cost (columns at least as many as rows).
 

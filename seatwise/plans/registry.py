@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, prediction, scalars, tables
+from . import ingest, prediction, scalars, shortlists, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scalars, tables, prediction, ingest):
+for _module in (scalars, tables, prediction, shortlists, ingest):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
