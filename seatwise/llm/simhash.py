@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -135,55 +134,30 @@ def close_links(classes: DataFrame, distance: int = 2) -> DataFrame:
     return links.union(met.join(least, "value").filter("node <> least").select("node", "least"))
 
 
-def wide_links(classes: DataFrame, lanes: int, width: int, distance: int) -> DataFrame:
-    """Links (a, b) between prints of lanes * 64 bits at most distance apart that share one of the blocks of width bits.
-
-    distance may be more than blocks: then a close pair shares a block with a probability that the caller chooses by
-    width. In each bucket the first print is compared with all; those not near it with all others. So no pair is lost, and
-    a bucket of copies of one text, all near its first, costs one comparison each.
-    """
-    blocks = lanes * 64 // width
-    keyed = _keyed(classes, [_bits(F.col("print"), i * width, width) for i in range(blocks)])
-    first = keyed.groupBy("key").agg(F.min(F.struct("node", "print")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    at = cut(keyed.join(first, "key").select("key", "node", "print", F.col("first.node").alias("leader"), (_distance(F.col("print"), F.col("first.print"), lanes) <= distance).alias("near")), "blocks")
-    star = at.filter("near AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    far, all_ = at.filter("NOT near").select("key", "node", "print").alias("x"), at.filter("node <> leader").select("key", "node", "print", "near").alias("y")
-    near = _distance(F.col("x.print"), F.col("y.print"), lanes) <= distance
-    rest = far.join(all_, (F.col("x.key") == F.col("y.key")) & (F.col("y.near") | (F.col("x.node") < F.col("y.node"))) & near)
-    return star.union(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-
-
-def lanes_distance(similarity: float, lanes: int) -> int:
-    """The Hamming distance to expect at a Jaccard similarity of equally many shingles."""
-    return round(lanes * 64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, similarity: float | None = None, lanes: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """One row per row of docs: id_col, fingerprint, component_id (the smallest id that its links reach).
 
-    By distance (2 at most): 64-bit prints, all pairs that close linked. By similarity, such as 0.8: prints of lanes * 64
-    bits, linked where their distance is what that Jaccard similarity is expected to give, candidates sharing a block of
-    about log2(prints) bits: with 8 lanes and 250,000 prints, of pairs at similarity 0.8 about 8 in 10 share one, at 0.85 9
-    in 10, at 0.9 98 in 100.
+    By distance (2 at most): 64-bit prints, all pairs that close linked. By similarity, such as 0.8: texts linked where the
+    Jaccard similarity of their sets of shingles is that or more; candidates share a MinHash band, which of pairs at just
+    that similarity all but 1 in 2000 do, whatever the number of texts. fingerprint is then a hash of the set.
 
     Equal prints are one class, so exact copies are never paired. Null and empty texts, and those without a word, have
-    print zero, linked like any other. A null id is never the smallest unless there is no other. Repeated rows each get
-    their row. An empty table gives an empty result; other columns are not read.
+    print zero (by similarity: are one class), linked like any other. A null id is never the smallest unless there is no
+    other. Repeated rows each get their row. An empty table gives an empty result; other columns are not read.
     """
-    wide = similarity is not None
-    prints = cut(fingerprints(docs, id_col, text_col, words, lanes if wide else 1), "prints")
+    if similarity is not None:
+        from .jaccard import similar_groups
+
+        found = similar_groups(docs, id_col, text_col, words, similarity)
+        return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"))
+    prints = cut(fingerprints(docs, id_col, text_col, words), "prints")
     classes = prints.groupBy("print").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     classes = cut(classes, "classes")
-    if wide:
-        width = max(16, math.ceil(math.log2(max(2, classes.count()))))
-        links = wide_links(classes, lanes, min(width, 40), lanes_distance(similarity, lanes))
-    else:
-        links = close_links(classes, distance)
-    roots = components(links)
+    roots = components(close_links(classes, distance))
     rooted = cut(classes.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     groups = cut(rooted.join(least.filter("n > 1").drop("n"), "root", "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "groups")
-    hexed = F.concat(*(F.lower(F.lpad(F.hex(F.col("print")[i]), 16, "0")) for i in range(lanes if wide else 1)))
+    hexed = F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0"))
     return prints.join(groups, "print").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 

@@ -253,6 +253,22 @@ def test_wide_simhash_finds_near_copies(spark):
     assert simhash.first_of_each(docs, words=5, similarity=0.8).count() <= 41
 
 
+def test_similar_texts_are_found_like_by_brute_force(spark):
+    """Pairs of Jaccard similarity 0.8 to 0.85 are all linked, pairs just below 0.8 are not."""
+    rows, near = [], {}
+    for i in range(300):
+        w = words(300, 20_000 + i).split()
+        v = w[:]
+        for k in range(1, 4 + i % 6):
+            v[k * 30] = "changed"
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (w, v))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        near[i] = len(a & b) / len(a | b)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    assert sum(0.8 <= s <= 0.85 for s in near.values()) >= 50 and any(0.7 < s < 0.8 for s in near.values())
+    assert all(got[2 * i] == 2 * i and (got[2 * i + 1] == 2 * i) == (s >= 0.8) for i, s in near.items())
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.line_dedup(docs, report="removed")
     assert out.columns == [*docs.columns, "removed"]
