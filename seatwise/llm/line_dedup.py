@@ -16,7 +16,7 @@ from .common import cut
 
 #: Words of a gram (shorter repeats never count), and words of a window (repeats from here on are always found).
 GRAM_WORDS, WINDOW_WORDS = 25, 50
-#: Lines by which one fingerprint is extended each way at most; a longer run has fingerprints all along.
+#: Lines by which one fingerprint is extended each way at most; runs of WINDOW_WORDS words are found whole by their windows.
 REACH = 32
 
 
@@ -70,13 +70,26 @@ def fingerprints(hashes: list[int], words: list[int], gram: int = GRAM_WORDS, wi
     return sorted(chosen.items())
 
 
+def windows(hashes: list[int], words: list[int], window: int = WINDOW_WORDS) -> list[tuple[int, int, int]]:
+    """The shortest runs of lines with `window` words from each line on, and up to each line: first line, lines and hash.
+
+    A line of a longer run is in the one that starts at it or, near the run's end, in the one that ends with the run.
+    """
+    packed = np.array(hashes, np.uint64).tobytes()
+    before = np.concatenate([[0], np.cumsum(np.array(words, np.int64))])
+    ahead = np.searchsorted(before, before[:-1] + window)
+    back = np.searchsorted(before, before[1:] - window, "right") - 1
+    spans = {(i, int(j)) for i, j in enumerate(ahead) if j < len(before)} | {(int(i), j + 1) for j, i in enumerate(back) if i >= 0}
+    return [(i, j - i, xxhash.xxh64_intdigest(packed[8 * i : 8 * j])) for i, j in sorted(spans)]
+
+
 def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
 def _scan(gram: int, window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark", "n_lines", "numbers", "hashes", "words", "places", "grams"]
+        names = ["id", "mark", "n_lines", "numbers", "hashes", "words", "places", "grams", "starts", "sizes", "windows"]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -84,8 +97,9 @@ def _scan(gram: int, window: int):
                 for text in part.column(2):
                     numbers, hashes, words = lines_of(text.as_py() or "")
                     found = fingerprints(hashes, words, gram, window)
-                    rows.append((numbers, _signed(hashes), words, [x[0] for x in found], _signed([x[1] for x in found])))
-                kinds = [pa.list_(k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
+                    whole = windows(hashes, words, window)
+                    rows.append((numbers, _signed(hashes), words, [x[0] for x in found], _signed([x[1] for x in found]), [x[0] for x in whole], [x[1] for x in whole], _signed([x[2] for x in whole])))
+                kinds = [pa.list_(k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
                 arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(r[0]) for r in rows], pa.int32()), *arrays], names)
 
@@ -100,6 +114,9 @@ def _removed(gram: int):
                 own, weight = np.array(hashes.as_py(), np.int64), np.array(words.as_py(), np.int64)
                 gone = np.zeros(len(own), bool)
                 for m in matches.as_py():
+                    if m["other"] is None:  # a window, equal as a whole
+                        gone[m["start"] : m["start"] + m["size"]] = True
+                        continue
                     place, start, other = m["place"], m["start"], np.array(m["other"], np.int64)
                     equal = own[start : start + len(other)] == other[: len(own) - start]
                     at = place - start
@@ -119,11 +136,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each chosen gram is joined with its first occurrence only (smallest id, then mark, then place), so there is a row for
     each occurrence and not for each pair. Line hashes around both are then compared outwards, and the run of equal lines
-    is removed at the later place. Every removed line is thus still somewhere earlier.
+    is removed at the later place. Every window that has an earlier occurrence, found the same way, is removed whole; so of a
+    repeat of `window` words no line is left, wherever its parts stood before. Every removed line is thus still somewhere
+    earlier.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    lists = "numbers array<int>, hashes array<bigint>, words array<int>, places array<int>, grams array<bigint>"
+    lists = "numbers array<int>, hashes array<bigint>, words array<int>, places array<int>, grams array<bigint>, starts array<int>, sizes array<int>, windows array<bigint>"
     scanned = cut(texts.mapInArrow(_scan(gram, window), f"id {kind}, mark bigint, n_lines int, {lists}"), "lines")
     found = scanned.select("id", "mark", "n_lines", F.explode(F.arrays_zip("places", "grams")).alias("f")).select("id", "mark", "n_lines", F.col("f.places").alias("place"), F.col("f.grams").alias("gram"))
     firsts = found.groupBy("gram").agg(F.min(F.struct("id", "mark", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -134,8 +153,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = later.join(source, F.col("first.id").eqNullSafe(F.col("first_id")) & (F.col("first.mark") == F.col("first_mark")))
     back = F.least(F.lit(REACH), F.col("place"), F.col("first.place"))
     ahead = F.least(F.lit(REACH), F.col("n_lines") - F.col("place"), F.size("other") - F.col("first.place"))
-    match = F.struct("place", (F.col("place") - back).alias("start"), F.slice("other", F.col("first.place") - back + 1, back + ahead).alias("other"))
-    matches = later.groupBy("id", "mark").agg(F.collect_list(match).alias("matches"))
+    match = F.struct("place", (F.col("place") - back).alias("start"), F.lit(0).alias("size"), F.slice("other", F.col("first.place") - back + 1, back + ahead).alias("other"))
+    whole = scanned.select("id", "mark", F.explode(F.arrays_zip("starts", "sizes", "windows")).alias("w")).select("id", "mark", F.col("w.starts").alias("place"), F.col("w.sizes").alias("size"), F.col("w.windows").alias("window"))
+    earliest = cut(whole.groupBy("window").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "earliest")
+    again = whole.join(earliest, "window").filter(~here.eqNullSafe(F.col("first"))).select("id", "mark", "place", "size").distinct()
+    span = F.struct("place", F.col("place").alias("start"), "size", F.lit(None).cast("array<bigint>").alias("other"))
+    matches = later.select("id", "mark", match.alias("match")).union(again.select("id", "mark", span.alias("match"))).groupBy("id", "mark").agg(F.collect_list("match").alias("matches"))
     own = scanned.select(F.col("id").alias("own_id"), F.col("mark").alias("own_mark"), "numbers", "hashes", "words").dropDuplicates(["own_id", "own_mark"])
     at = matches.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).select("id", "mark", "numbers", "hashes", "words", "matches")
     return cut(at.mapInArrow(_removed(gram), f"id {kind}, mark bigint, removed array<int>"), "removed")
@@ -156,7 +179,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with later repeated runs of lines taken out of the text; all rows and columns stay.
 
     A run of equal lines (ASCII case and white space inside lines aside; lines without a word are passed over) with
-    `window` words or more that stands at two places, in one or two texts, is always found; one with at least `gram` words
+    `window` words or more that stands at two places, in one or two texts, is always taken out whole; one with at least `gram` words
     may be. It stays where the id is smallest. Text may become empty; null text stays null. Rows repeated with the same id
     and text count as one document, so both keep or lose the same lines. report: name of an added column with the numbers
     of the lines taken out (null: none). An empty table gives an empty result.

@@ -307,6 +307,19 @@ def test_line_dedup_finds_every_long_repeat_and_removes_nothing_else(spark):
                         assert any(numbers[k] in out[d] for k in range(i, i + m))
 
 
+def test_line_dedup_takes_out_all_lines_of_a_long_repeat(spark):
+    """A hot line that starts a passage, a passage whose parts an earlier text has, and lines of one word."""
+    rows = []
+    for k in range(40):
+        hot, more = words(30, 500 + 2 * k), words(30, 501 + 2 * k)
+        rows += [(3 * k, f"{hot}\n{words(30, 700 + k)}"), (3 * k + 1, f"{hot}\n{more}\n{words(30, 800 + k)}"), (3 * k + 2, f"{words(30, 900 + k)}\n{hot}\n{more}\n{words(30, 1100 + k)}")]
+    single = "\n".join(words(200, 77).split())
+    rows += [(1000, single), (1001, f"start\n{single}\nend")]
+    out = {r.doc_id: set(r.removed or []) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), report="removed").collect()}
+    assert all({1, 2} <= out[3 * k + 2] and not {0, 3} & out[3 * k + 2] and not out[3 * k] for k in range(40))
+    assert out[1001] == set(range(1, 201))
+
+
 def test_licenses(docs, none):
     got = {r.doc_id: r.found for r in licenses.scan_licenses(docs).collect()}
     assert [x.license for x in got[14]] == ["MIT"] and got[14][0].dice == 1.0 and got[14][0].first_line == 0
