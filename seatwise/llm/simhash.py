@@ -63,11 +63,11 @@ def _fingerprints(words: int, lanes: int):
             prints = [majority(flat if lane == 0 else mix64(flat + np.uint64(_LANE * lane % (1 << 64))), n).view(np.int64) for lane in range(lanes)]
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * lanes)
             rows = pa.ListArray.from_arrays(offsets, pa.array(np.stack(prints, 1).ravel()))
-            return pa.RecordBatch.from_arrays([ids.slice(done, len(n)), rows], ["id", "print"])
+            return pa.RecordBatch.from_arrays([ids.slice(done, len(n)), marks.slice(done, len(n)), rows], ["id", "mark", "print"])
 
         for batch in batches:
-            ids, done, hashes, sizes = batch.column(0), 0, [], []
-            for text in batch.column(1):
+            ids, marks, done, hashes, sizes = batch.column(0), batch.column(1), 0, [], []
+            for text in batch.column(2):
                 own = shingle_hashes(text.as_py(), words)
                 hashes.extend(own)
                 sizes.append(len(own))
@@ -81,10 +81,10 @@ def _fingerprints(words: int, lanes: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1) -> DataFrame:
-    """id, print (lanes longs of 64 bits): lane 0 from the XXH64 of the shingles, the others from remixed hashes."""
+    """id, mark (xxhash64 of the text), print (lanes longs of 64 bits): lane 0 from the XXH64 of the shingles, the others from remixed hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_fingerprints(words, lanes), f"id {kind}, print array<bigint>")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(_fingerprints(words, lanes), f"id {kind}, mark bigint, print array<bigint>")
 
 
 def _bits(print_: Column, start: int, width: int) -> Column:
@@ -145,28 +145,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     print zero (by similarity: are one class), linked like any other. A null id is never the smallest unless there is no
     other. Repeated rows each get their row. An empty table gives an empty result; other columns are not read.
     """
+    found = _grouped(docs, id_col, text_col, words, distance, similarity)
+    return found.select(F.col("id").alias(id_col), "fingerprint", F.col("least.id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
+    """id, mark, fingerprint, least: the smallest (id, mark) of the row's group, as a struct whose field none puts null ids last."""
     if similarity is not None:
         from .jaccard import similar_groups
 
-        found = similar_groups(docs, id_col, text_col, words, similarity)
-        return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"))
+        return similar_groups(docs, id_col, text_col, words, similarity).withColumn("fingerprint", F.lower(F.lpad(F.hex("node"), 16, "0")))
     prints = cut(fingerprints(docs, id_col, text_col, words), "prints")
-    classes = prints.groupBy("print").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    classes = prints.groupBy("print").agg(F.min(own).alias("own")).withColumn("node", F.monotonically_increasing_id())
     classes = cut(classes, "classes")
     roots = components(close_links(classes, distance))
-    rooted = cut(classes.join(roots, "node", "left").select("print", "least", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    groups = cut(rooted.join(least.filter("n > 1").drop("n"), "root", "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "groups")
+    rooted = cut(classes.join(roots, "node", "left").select("print", "own", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("n"))
+    groups = cut(rooted.join(least.filter("n > 1").drop("n"), "root", "left").select("print", F.coalesce("least", "own").alias("least")), "groups")
     hexed = F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0"))
-    return prints.join(groups, "print").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return prints.join(groups, "print").select("id", "mark", hexed.alias("fingerprint"), "least")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, with their columns, that are the smallest of their group; of repeated rows of an id one stays."""
-    found = near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias("__id"), F.col("component_id").alias("__group"))
-    stay = found.filter(F.col("__id").eqNullSafe(F.col("__group"))).select("__id").distinct()
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    own = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
+    """The rows of docs, with their columns, that are the smallest of their group by id and hash of the text; of repeated rows one stays."""
+    found = _grouped(docs, id_col, text_col, **how)
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("mark") == F.col("least.mark"))
+    stay = found.filter(first).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left_semi")
+    own = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.col(text_col).asc_nulls_first())
     return kept.withColumn("__n", F.row_number().over(own)).filter("__n = 1").drop("__n")
 
 

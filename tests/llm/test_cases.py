@@ -269,6 +269,15 @@ def test_similar_texts_are_found_like_by_brute_force(spark):
     assert all(got[2 * i] == 2 * i and (got[2 * i + 1] == 2 * i) == (s >= 0.8) for i, s in near.items())
 
 
+def test_one_text_of_each_group_stays_with_null_and_repeated_ids(spark):
+    a, b, c = words(80, 31), words(80, 32), words(80, 33)
+    docs = spark.createDataFrame([(None, a), (None, b), (None, b), (1, b + " more"), (7, c), (7, a + " end"), (7, c)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.first_of_each(docs, words=5, similarity=0.8).collect())
+    assert got == sorted([(1, b + " more"), (7, c), (7, a + " end")])
+    apart = spark.createDataFrame([(None, a), (None, b), (7, c)], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.first_of_each(apart, words=5, similarity=0.8).collect()) == sorted([a, b, c])
+
+
 def test_line_dedup(docs, none):
     out = line_dedup.line_dedup(docs, report="removed")
     assert out.columns == [*docs.columns, "removed"]
