@@ -402,17 +402,20 @@ def _gather(id_type: pa.DataType):
 
 
 def _of_block(group: pa.Table) -> pa.Table:
-    """The counts, clusters and head numbers of one block's words, in the order of the block."""
+    """The counts, clusters and head numbers of one block's words, in the order of the block, and which are in no block before."""
     place, first = np.unique(group["place"].to_numpy(), return_index=True)
+    lead = np.zeros(len(place), np.uint8)
+    lead[np.searchsorted(place, group["place"].filter(group["lead"]).to_numpy())] = 1
     known = [_packed(group[c].to_numpy()[first].astype(k)) for c, k in (("count", np.int64), ("cluster", np.int8), ("head", np.int16))]
+    known.append(_packed(lead))
     return pa.table({"block": group["block"][:1], "known": pa.array([known], pa.list_(pa.binary()))})
 
 
-def _read(packed: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-    """A block and its words' counts, clusters and numbers in the head."""
-    kinds = (np.uint32, np.int64, np.int64, np.uint8, np.uint32, np.int64, np.int8, np.int16)
-    token, tokens, size, spelling, sizes, count, cluster, head = (_unpacked(p, k) for p, k in zip(packed, kinds, strict=True))
-    return Block(token, tokens, size, np.empty(0, np.uint64), spelling, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), count, cluster.astype(np.int64), head.astype(np.int64)
+def _read(packed: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block, its words' counts, clusters and numbers in the head, and which of them are in no block before."""
+    kinds = (np.uint32, np.int64, np.int64, np.uint8, np.uint32, np.int64, np.int8, np.int16, np.uint8)
+    token, tokens, size, spelling, sizes, count, cluster, head, lead = (_unpacked(p, k) for p, k in zip(packed, kinds, strict=True))
+    return Block(token, tokens, size, np.empty(0, np.uint64), spelling, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), count, cluster.astype(np.int64), head.astype(np.int64), lead > 0
 
 
 def _learn(model):
@@ -425,14 +428,13 @@ def _learn(model):
         salts = _salts(len(known.code.mass))
         for batch in batches:
             for packed, learned in zip(batch.column(2), batch.column(1), strict=True):
-                block, count, cluster, head = _read(packed.as_py())
+                block, count, cluster, head, lead = _read(packed.as_py())
                 taught = np.array(learned.as_py(), bool)
                 ends = np.concatenate([[0], np.cumsum(block.tokens[taught])])
-                if not ends[-1]:
-                    continue
-                symbol = known.of(count - 1, cluster, head)[block.token[np.repeat(taught, block.tokens)]]
-                _count(tables, symbol_contexts(known, symbol, ends), symbol, known.code, salts, SYMBOL_BITS)
-                words = np.flatnonzero((count > 0) & (np.diff(block.spelled) > 1))
+                if ends[-1]:
+                    symbol = known.of(count - 1, cluster, head)[block.token[np.repeat(taught, block.tokens)]]
+                    _count(tables, symbol_contexts(known, symbol, ends), symbol, known.code, salts, SYMBOL_BITS)
+                words = np.flatnonzero(lead & (count > 0) & (np.diff(block.spelled) > 1))
                 for at in range(0, len(words), 1 << 16):
                     stream, ends = _subset(block, words[at : at + (1 << 16)])
                     _count(spelling, byte_contexts(stream, ends, cluster[words[at : at + (1 << 16)]]), stream, byte_code(), _salts(256), BYTE_BITS)
@@ -460,7 +462,7 @@ def _slot_counts(counts: np.ndarray) -> np.ndarray:
     most = pair.max(1)
     large = np.flatnonzero(most > 0xFFFF)
     out = np.minimum(pair, 0xFFFF)
-    out[large] = np.ceil(pair[large] * (0xFFFF / most[large])[:, None])
+    out[large] = np.minimum(np.ceil(pair[large] * (0xFFFF / most[large])[:, None]), 0xFFFF)
     return out[:, 0] | (out[:, 1] << np.uint32(16))
 
 
@@ -469,7 +471,7 @@ def _score(model, tables):
         known, (of_symbols, of_bytes) = Symbols.read(model.value), tables.value
         for batch in batches:
             for row, packed in enumerate(batch.column(2)):
-                block, count, cluster, head = _read(packed.as_py())
+                block, count, cluster, head, _ = _read(packed.as_py())
                 token, texts = block.token.astype(np.int64), len(block.tokens)
                 ends = np.concatenate([[0], np.cumsum(block.tokens)])
                 own = np.repeat(np.arange(texts), block.tokens)
@@ -549,7 +551,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tail = [tuple(r) for r in tail.agg(F.sum("count")).collect()]  # 128 by CLUSTERS rows at most
     known = symbols([(r["count"], r["cluster"]) for r in ranked], tail)
     model = spark.sparkContext.broadcast((*known[:2], tuple(known.code), *known[3:]))  # without classes, which a worker may not find
-    counted = words.join(F.broadcast(numbers), "hash", "left").select("block", "place", "count", "cluster", F.coalesce("head", F.lit(-1)).alias("head"))
+    counted = words.join(F.broadcast(numbers), "hash", "left").select("block", "place", "count", "cluster", F.coalesce("head", F.lit(-1)).alias("head"), "lead")
     of_blocks = counted.groupBy("block").applyInArrow(_of_block, "block bigint, known array<binary>")
     whole = gathered.filter("place < 0").select("block", "ids", "learned", "packed")
     assembled = cut(whole.join(of_blocks, "block").select("ids", "learned", F.concat("packed", "known").alias("packed")), "blocks")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seatwise.llm import chat, exact_dedup, licenses, line_dedup, lm, mixing, packing, quality, simhash, warc
-from seatwise.llm.common import new_path
+from seatwise.llm.common import new_path, span_hashes
 from seatwise.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,26 +389,153 @@ def test_lm(docs, none):
     assert lm.score_texts(none).count() == 0
 
 
+def _brute_lm(rows, langs):
+    """score of each text by dictionaries and loops, from the definition of the model."""
+    tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
+    learned = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _ in rows]
+    ranked = sorted(Counter(langs).items(), key=lambda x: (-x[1], x[0] is not None, x[0] or ""))
+    rank = {x: min(k, lm.CLUSTERS - 1) for k, (x, _) in enumerate(ranked)}
+    per = defaultdict(Counter)
+    for w, ok, lang in zip(tokens, learned, langs, strict=True):
+        for x in w if ok else []:
+            per[x][rank[lang]] += 1
+    count = {x: sum(c.values()) for x, c in per.items()}
+    cluster = {x: min(c, key=lambda g: (-c[g], g)) for x, c in per.items()}
+    known = lambda x: x is None
+    order = sorted((x for x in count if count[x] > 1 or known(x)), key=lambda x: (not known(x), -count[x], _signed_hash(x)))[: lm.HEAD]
+    order.sort(key=lambda x: (-count[x], _signed_hash(x)))
+    head = {x: k for k, x in enumerate(order)}
+    tail = Counter()
+    for x, n in count.items():
+        if x not in head:
+            tail[n.bit_length(), (n - 1).bit_length(), cluster[x]] += n
+    model = lm.symbols([(count[x], cluster[x]) for x in order], [(*k, n) for k, n in tail.items()])
+
+    def symbol(x, n):
+        if x in head:
+            return head[x]
+        return len(head) + (min(n.bit_length(), model.bands - 1) * lm.CLUSTERS + cluster[x] if n > 0 else 0)
+
+    def path(code, s):
+        return [(int(code.node[i]), int(code.bit[i])) for i in range(code.start[s], code.start[s] + code.size[s])]
+
+    def contexts(before):
+        g = [int(model.cluster[s]) for s in before]
+        last = lambda values, none: [*values[::-1], none, none, none, none]
+        usual = min(range(lm.CLUSTERS), key=lambda k: (-g.count(k), k)) if any(k < lm.CLUSTERS for k in g) else lm.CLUSTERS
+        b, c = last(before, 0xFFFF), last(g, 31)
+        found = (b[0], b[0] << 16 | b[1], c[0] | c[1] << 5 | c[2] << 10 | c[3] << 15, usual << 5 | c[0])
+        return [(k, _mixed(x + (k << 60))) for k, x in enumerate(found, 1)], usual
+
+    def slot(context, node, bits=lm.SYMBOL_BITS):
+        return context[0], (((context[1] >> 16 << 16) + int(lm._salts(node + 1)[node])) % (1 << 64)) >> (64 - bits)
+
+    seen = defaultdict(lambda: [0, 0])
+    for w, ok in zip(tokens, learned, strict=True):
+        line = [symbol(x, count.get(x, 0) - 1) for x in w] if ok else []
+        for t, s in enumerate(line):
+            for c in contexts(line[:t])[0]:
+                for node, bit in path(model.code, s):
+                    seen[slot(c, node)][bit] += 1
+    letters, spelled = lm.byte_code(), defaultdict(lambda: [0, 0])
+
+    def byte_contexts(word, i, g):
+        return [(o, _mixed(int.from_bytes(word[max(0, i - o) : i][::-1], "little") + (o << 56) + ((g + 1) << 48 if o == lm.ORDERS[0] else 0))) for o in lm.ORDERS]
+
+    for x in count:
+        if x is not None:
+            for i, byte in enumerate(x + b" "):
+                for c in byte_contexts(x, i, cluster[x]):
+                    for node, bit in path(letters, byte):
+                        spelled[slot(c, node, lm.BYTE_BITS)][bit] += 1
+    sign = lambda bit: 2 * bit - 1
+    squash = lambda z: 1 / (1 + math.exp(-z))
+    gates, out = lm.start_weights(), []
+    for w in tokens:
+        line, bits, own, grown = [], 0.0, np.zeros(5), np.zeros(5)
+        for t, x in enumerate(w):
+            if t % lm.SEGMENT == 0:
+                own, grown = own + grown, np.zeros(5)
+            n = count.get(x, 0)
+            s = symbol(x, n)
+            at, usual = contexts(line)
+            for node, bit in path(model.code, s):
+                p = model.code.mass[node, 1] / model.code.mass[node].sum()
+                counts = [seen.get(slot(c, node), [0, 0]) for c in at]
+                gate = sum((len(lm.GATES) + 1) ** (1 - k) * sum(sum(counts[k]) >= g for g in lm.GATES) for k in (0, 1))
+                z = np.array([math.log(p / (1 - p)), *(math.log((b + lm.PRIOR * p) / (a + lm.PRIOR * (1 - p))) for a, b in counts)])
+                right = squash(sign(bit) * float((gates[gate] + own) @ z))
+                bits += math.log2(right)
+                grown = grown + lm.STEP * sign(bit) * (1 - right) * z / lm.SEGMENT
+            if n and x not in head:
+                bits += math.log2(n) - model.shares[s]
+            if not n:
+                for i, byte in enumerate(x + b" "):
+                    for node, bit in path(letters, byte):
+                        p, total = 0.5, 0.0
+                        for c in byte_contexts(x, i, usual):
+                            zeros, ones = spelled.get(slot(c, node, lm.BYTE_BITS), [0, 0])
+                            p = (ones + lm.BYTE_PRIOR * p) / (zeros + ones + lm.BYTE_PRIOR)
+                            total += math.log(p / (1 - p)) / len(lm.ORDERS)
+                        bits += math.log2(squash(sign(bit) * total))
+            line.append(s)
+        out.append(bits * math.log10(2))
+    return out
+
+
+def _mixed(x):
+    """The finaliser of SplitMix64."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % (1 << 64)
+    return x ^ x >> 31
+
+
+def _signed_hash(x):
+    if x is None:
+        return int(lm._END_HASH.astype(np.int64))
+    return int(span_hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])).view(np.int64)[0])
+
+
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    pools = {g: ["".join(r.choice(a) for _ in range(r.randint(1, 6))) for _ in range(40)] for g, a in (("en", "abc"), ("de", "xyzü"), (None, "mno"))}
+    rows, langs = [], []
+    for i in range(40):
+        lang = r.choice(list(pools))
+        rows.append((i, " ".join(r.choice(pools[lang]) if r.random() < 0.9 else "".join(r.choice("abcxyz") for _ in range(5)) for _ in range(r.randint(0, 60)))))
+        langs.append(lang)
+    docs = spark.createDataFrame([(i, t, g) for (i, t), g in zip(rows, langs, strict=True)], "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(lm, "HEAD", 30)
+    monkeypatch.setattr(lm, "BLOCK_TEXT", 500)  # several blocks a task
+    got = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    want = _brute_lm(rows, langs)
+    assert len(got) == len(rows)
+    for (i, _), score in zip(rows, want, strict=True):
+        assert abs(got[i] - score) < 1e-3 * max(1, abs(score)), (i, got[i], score)
+
+
+def test_lm_beats_the_unigram_model_on_what_it_has_not_seen(spark):
+    sums = lm.op2_lm_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert sums[0] > sums[1]
+
+
 def test_lm_probabilities_sum_to_one():
-    """Over all next symbols after a text's start the model's probabilities sum to one: it is a model of texts."""
-    import pyarrow as pa
-
-    stream, ends = lm.symbols(pa.array([words(400, 1)]))
-    place = lm._places(ends)
-    pair = lm.paired(stream, place)
-    code = lm.binary_code(np.bincount(pair, minlength=1 << 16).reshape(256, 256))
-    bits = 16
-    tables = []
-    for c in lm.contexts(stream, place):
-        owner, at, _ = lm.expand(code, pair)
-        slot = lm._slots(c, owner, code[3][at], bits) * 2 + code[2][at]
-        t = np.bincount(slot, minlength=2 << bits)
-        tables.append(np.log((t[1::2] + lm.PRIOR) / (t[0::2] + lm.PRIOR)).astype(np.float16))
-    start = stream[:300]
+    """Over all next symbols, and over all next bytes of a word, the probabilities sum to one: it is a model of texts."""
+    r = np.random.default_rng(3)
+    model = lm.symbols([(50, 0), (20, 1), (9, 0)], [(1, 0, 0, 30), (2, 1, 1, 12), (3, 2, 0, 25)])
+    n = model.code.size.size
+    line = r.integers(0, n, 40)
+    tables = [r.integers(0, 9, 1 << lm.SYMBOL_BITS).astype(np.uint32) << np.uint32(16) | r.integers(0, 9, 1 << lm.SYMBOL_BITS).astype(np.uint32) for _ in range(4)]
+    many = np.concatenate([np.append(line, s) for s in range(n)])
+    got = lm.symbol_bits(model, many, np.arange(n + 1) * 41, tables)
+    one = lm.symbol_bits(model, line, np.array([0, 40]), tables)[0]
+    assert abs(np.exp2(got - one).sum() - 1) < 1e-4
+    tables = [t[: 1 << lm.BYTE_BITS] for t in tables[:3]]
+    start = np.frombuffer(b"abc", np.uint8)
     many = np.concatenate([np.append(start, b).astype(np.uint8) for b in range(256)])
-    got = lm.log2_scores(many, np.arange(257) * 301, code, tables, bits)
-    one = lm.log2_scores(start, np.array([0, 300]), code, tables, bits)[0]
-    assert abs(np.exp2(got - one).sum() - 1) < 1e-3
+    got = lm.spelling_bits(many, np.arange(257) * 4, np.zeros(256, np.int64), tables)
+    one = lm.spelling_bits(start, np.array([0, 3]), np.zeros(1, np.int64), tables)[0]
+    assert abs(np.exp2(got - one).sum() - 1) < 1e-4
 
 
 def test_chat(spark):
