@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, cut, mix64, runs, span_hashes, text_buffers, word_spans
 
 #: Bytes of text in one block: what a task counts at a time, and gets the corpus' counts of its words back for.
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 8 << 20
 #: Words with a symbol of their own: the most frequent. All other words share symbols, by count and cluster.
 HEAD = 2048
 #: Clusters of words: the language that most of a word's learned texts have; the last one is of all rarer languages.
@@ -341,25 +341,35 @@ class Block(NamedTuple):
 
 
 def block_of(texts: pa.Array) -> Block:
+    """The texts' words. Bytes are worked on a slice of texts at a time."""
+    hashes, sizes, owners, starts, row, done = [], [], [], [], 0, 0
+    for part in blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0):
+        data, off = text_buffers(part.column(0))
+        start, end, own = word_spans(data, off)
+        hashes.append(span_hashes(LOWER[data], start, end))
+        sizes.append((end - start).astype(np.int32))
+        owners.append((own + row).astype(np.int32))
+        starts.append(start + done)
+        row, done = row + part.num_rows, done + len(data)
     data, off = text_buffers(texts)
-    start, end, own = word_spans(data, off)
     n = len(off) - 1
-    every = np.empty(len(start) + n, np.uint64)
+    size, own = np.concatenate(sizes), np.concatenate(owners)
+    start = np.concatenate(starts)
     words = np.bincount(own, minlength=n)
-    ends = np.cumsum(words + 1) - 1
-    at = np.arange(len(start)) + own
-    every[at], every[ends] = span_hashes(LOWER[data], start, end), _END_HASH
+    every = np.empty(len(own) + n, np.uint64)
+    at = np.arange(len(own)) + own
+    every[at], every[np.cumsum(words + 1) - 1] = np.concatenate(hashes), _END_HASH
     order = np.argsort(every)
     ranked = every[order]
     first = runs(ranked)
     token = np.empty(len(every), np.uint32)
     token[order] = np.repeat(np.arange(len(first), dtype=np.uint32), np.diff(first, append=len(ranked)))
     which = np.searchsorted(at, order[first])  # a token of each distinct word, among the words
-    which = np.where(ranked[first] == _END_HASH, -1, which)
-    begin, stop = (np.append(x, 0)[which] for x in (start, end))
-    spelling, spelled_ = spelled(data, begin, stop)
-    size = np.bincount(own, weights=end - start + 1, minlength=n).astype(np.int64) + 1
-    return Block(token, words + 1, size, ranked[first], spelling, spelled_)
+    which = np.where(ranked[first] == _END_HASH, -1, which)  # the end has no bytes
+    begin, length = np.append(start, 0)[which], np.append(size, 0)[which]
+    spelling, spelled_ = spelled(data, begin, begin + length)
+    nbytes = np.bincount(own, weights=size + 1, minlength=n).astype(np.int64) + 1
+    return Block(token, words + 1, nbytes, ranked[first], spelling, spelled_)
 
 
 def _subset(block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -538,9 +548,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every, own = Window.partitionBy("hash"), Window.partitionBy("hash", "cluster")
     words = gathered.filter("place >= 0").select("block", "place", "hash", "cluster", "n")
     words = words.repartition("hash").withColumn("of_cluster", F.sum("n").over(own))
-    words = words.withColumn("count", F.sum("n").over(every)).withColumn("usual", F.max(F.struct("of_cluster", -F.col("cluster"))).over(every))
-    words = words.withColumn("lead", F.min(F.struct("block", "place", "cluster")).over(every) == F.struct("block", "place", "cluster"))
-    words = cut(words.select("block", "place", "hash", "count", (-F.col("usual")["col2"]).cast("int").alias("cluster"), "lead"), "words")
+    words = words.withColumn("count", F.sum("n").over(every)).withColumn("usual", F.max(F.col("of_cluster") * CLUSTERS + CLUSTERS - 1 - F.col("cluster")).over(every))
+    row = F.col("block") * CLUSTERS + F.col("cluster")  # a word has one row for each
+    words = words.withColumn("lead", F.min(row).over(every) == row)
+    words = cut(words.select("block", "place", "hash", "count", (CLUSTERS - 1 - F.pmod("usual", F.lit(CLUSTERS))).cast("int").alias("cluster"), "lead"), "words")
     distinct = words.filter("lead AND count > 0")
     is_end = F.col("hash") == int(_END_HASH.astype(np.int64))
     head = cut(distinct.filter((F.col("count") > 1) | is_end).orderBy(is_end.desc(), F.desc("count"), "hash").limit(HEAD).select("hash", "count", "cluster"), "head")
