@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, blocks, cut, mix64, runs, span_hashes, text_buffers, word_spans
 
 #: Bytes of text in one block: what a task counts at a time, and gets the corpus' counts of its words back for.
-BLOCK_TEXT = 8 << 20
+BLOCK_TEXT = 4 << 20
 #: Words with a symbol of their own: the most frequent. All other words share symbols, by count and cluster.
 HEAD = 2048
 #: Clusters of words: the language that most of a word's learned texts have; the last one is of all rarer languages.
