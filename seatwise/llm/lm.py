@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, cut, mix64, runs, span_hashes, text_buffers, word_spans
+from .common import LOWER, blocks, cut, mix64, release, runs, span_hashes, text_buffers, word_spans
 
 #: Bytes of text in one block: what a task counts at a time, and gets the corpus' counts of its words back for.
-BLOCK_TEXT = 4 << 20
+BLOCK_TEXT = 6 << 20
 #: Words with a symbol of their own: the most frequent. All other words share symbols, by count and cluster.
 HEAD = 2048
 #: Clusters of words: the language that most of a word's learned texts have; the last one is of all rarer languages.
@@ -343,7 +343,7 @@ class Block(NamedTuple):
 def block_of(texts: pa.Array) -> Block:
     """The texts' words. Bytes are worked on a slice of texts at a time."""
     hashes, sizes, owners, starts, row, done = [], [], [], [], 0, 0
-    for part in blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0):
+    for part in blocks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0, 1 << 20):
         data, off = text_buffers(part.column(0))
         start, end, own = word_spans(data, off)
         hashes.append(span_hashes(LOWER[data], start, end))
@@ -413,11 +413,14 @@ def _gather(id_type: pa.DataType):
 
 def _of_block(group: pa.Table) -> pa.Table:
     """The counts, clusters and head numbers of one block's words, in the order of the block, and which are in no block before."""
-    place, first = np.unique(group["place"].to_numpy(), return_index=True)
-    lead = np.zeros(len(place), np.uint8)
-    lead[np.searchsorted(place, group["place"].filter(group["lead"]).to_numpy())] = 1
-    known = [_packed(group[c].to_numpy()[first].astype(k)) for c, k in (("count", np.int64), ("cluster", np.int8), ("head", np.int16))]
-    known.append(_packed(lead))
+    place = group["place"].to_numpy()
+    order = np.argsort(place, kind="stable")
+    first = order[runs(place[order])]
+    value, head = group["known"].to_numpy(), group["head"].to_numpy()[first]
+    lead = np.zeros(int(place.max()) + 1, np.uint8)
+    lead[place[(value & 1) > 0]] = 1
+    both = value[first] >> 1
+    known = [_packed(x) for x in (both // CLUSTERS, (both % CLUSTERS).astype(np.int8), head.astype(np.int16), lead)]
     return pa.table({"block": group["block"][:1], "known": pa.array([known], pa.list_(pa.binary()))})
 
 
@@ -550,9 +553,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = words.repartition("hash").withColumn("of_cluster", F.sum("n").over(own))
     words = words.withColumn("count", F.sum("n").over(every)).withColumn("usual", F.max(F.col("of_cluster") * CLUSTERS + CLUSTERS - 1 - F.col("cluster")).over(every))
     row = F.col("block") * CLUSTERS + F.col("cluster")  # a word has one row for each
-    words = words.withColumn("lead", F.min(row).over(every) == row)
-    words = cut(words.select("block", "place", "hash", "count", (CLUSTERS - 1 - F.pmod("usual", F.lit(CLUSTERS))).cast("int").alias("cluster"), "lead"), "words")
-    distinct = words.filter("lead AND count > 0")
+    cluster = CLUSTERS - 1 - F.pmod("usual", F.lit(CLUSTERS))
+    words = words.withColumn("known", (F.col("count") * CLUSTERS + cluster) * 2 + (F.min(row).over(every) == row).cast("bigint"))
+    words = cut(words.select("block", "place", "hash", "known"), "words")
+    release(spark)
+    distinct = words.select("hash", F.shiftright("known", 1).alias("both"), F.col("known").bitwiseAND(F.lit(1)).alias("lead")).filter("lead = 1").select("hash", F.floor(F.col("both") / CLUSTERS).alias("count"), F.pmod("both", F.lit(CLUSTERS)).alias("cluster")).filter("count > 0")
     is_end = F.col("hash") == int(_END_HASH.astype(np.int64))
     head = cut(distinct.filter((F.col("count") > 1) | is_end).orderBy(is_end.desc(), F.desc("count"), "hash").limit(HEAD).select("hash", "count", "cluster"), "head")
     ranked = sorted(head.collect(), key=lambda r: (-r["count"], r["hash"]))  # HEAD rows at most
@@ -562,7 +567,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tail = [tuple(r) for r in tail.agg(F.sum("count")).collect()]  # 128 by CLUSTERS rows at most
     known = symbols([(r["count"], r["cluster"]) for r in ranked], tail)
     model = spark.sparkContext.broadcast((*known[:2], tuple(known.code), *known[3:]))  # without classes, which a worker may not find
-    counted = words.join(F.broadcast(numbers), "hash", "left").select("block", "place", "count", "cluster", F.coalesce("head", F.lit(-1)).alias("head"), "lead")
+    counted = words.join(F.broadcast(numbers), "hash", "left").select("block", "place", "known", F.coalesce("head", F.lit(-1)).alias("head"))
     of_blocks = counted.groupBy("block").applyInArrow(_of_block, "block bigint, known array<binary>")
     whole = gathered.filter("place < 0").select("block", "ids", "learned", "packed")
     assembled = cut(whole.join(of_blocks, "block").select("ids", "learned", F.concat("packed", "known").alias("packed")), "blocks")
