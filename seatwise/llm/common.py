@@ -34,13 +34,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns it as read from there: computed once, safe when executors are lost."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are no longer held, once their result has been written by cut."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of tables made by cut that nothing reads any more, and lets Spark remove the shuffle files of plans no longer held."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__["_cut_path"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):  # what Python has let go of, the JVM can only then
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, cut, mix64, release, runs, span_hashes, text_buffers, word_spans
+from .common import LOWER, blocks, cut, drop, mix64, runs, span_hashes, text_buffers, word_spans
 
 #: Bytes of text in one block: what a task counts at a time, and gets the corpus' counts of its words back for.
 BLOCK_TEXT = 6 << 20
@@ -556,7 +556,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cluster = CLUSTERS - 1 - F.pmod("usual", F.lit(CLUSTERS))
     words = words.withColumn("known", (F.col("count") * CLUSTERS + cluster) * 2 + (F.min(row).over(every) == row).cast("bigint"))
     words = cut(words.select("block", "place", "hash", "known"), "words")
-    release(spark)
+    drop(spark)
     distinct = words.select("hash", F.shiftright("known", 1).alias("both"), F.col("known").bitwiseAND(F.lit(1)).alias("lead")).filter("lead = 1").select("hash", F.floor(F.col("both") / CLUSTERS).alias("count"), F.pmod("both", F.lit(CLUSTERS)).alias("cluster")).filter("count > 0")
     is_end = F.col("hash") == int(_END_HASH.astype(np.int64))
     head = cut(distinct.filter((F.col("count") > 1) | is_end).orderBy(is_end.desc(), F.desc("count"), "hash").limit(HEAD).select("hash", "count", "cluster"), "head")
@@ -568,9 +568,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = symbols([(r["count"], r["cluster"]) for r in ranked], tail)
     model = spark.sparkContext.broadcast((*known[:2], tuple(known.code), *known[3:]))  # without classes, which a worker may not find
     counted = words.join(F.broadcast(numbers), "hash", "left").select("block", "place", "known", F.coalesce("head", F.lit(-1)).alias("head"))
-    of_blocks = counted.groupBy("block").applyInArrow(_of_block, "block bigint, known array<binary>")
+    of_blocks = cut(counted.groupBy("block").applyInArrow(_of_block, "block bigint, known array<binary>"), "known")
+    del counted, distinct
+    drop(spark, words, head)
     whole = gathered.filter("place < 0").select("block", "ids", "learned", "packed")
     assembled = cut(whole.join(of_blocks, "block").select("ids", "learned", F.concat("packed", "known").alias("packed")), "blocks")
+    del whole
+    drop(spark, gathered, of_blocks)
     parts = cut(assembled.mapInArrow(_learn(model), "part int, task bigint, counts binary"), "tables")
     tasks = 1
     while tasks:  # FAN_IN tasks' shares at a time
