@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -49,6 +50,14 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system, for the tasks that come after."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and the offset of each (one more than texts). Null: empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -14,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, cut, drop, mix64, runs, span_hashes, text_buffers, word_spans
+from .common import LOWER, blocks, cut, drop, mix64, runs, span_hashes, text_buffers, trim, word_spans
 
 #: Bytes of text in one block: what a task counts at a time, and gets the corpus' counts of its words back for.
-BLOCK_TEXT = 6 << 20
+BLOCK_TEXT = 5 << 20
 #: Words with a symbol of their own: the most frequent. All other words share symbols, by count and cluster.
 HEAD = 2048
 #: Clusters of words: the language that most of a word's learned texts have; the last one is of all rarer languages.
@@ -407,6 +407,8 @@ def _gather(id_type: pa.DataType):
                 pa.array([number]), pa.array([-1], pa.int32()), none(pa.int64(), 1), none(pa.int32(), 1), none(pa.int64(), 1),
                 pa.array([part.column(0).to_pylist()], kinds[0]), pa.array([learned.tolist()], kinds[1]), pa.array([packed], kinds[2])], _ROW)
             number += 1
+            del found, learned, taught, cluster, key, n, never, word, packed
+            trim()
 
     return gather
 
@@ -451,12 +453,15 @@ def _learn(model):
                 for at in range(0, len(words), 1 << 16):
                     stream, ends = _subset(block, words[at : at + (1 << 16)])
                     _count(spelling, byte_contexts(stream, ends, cluster[words[at : at + (1 << 16)]]), stream, byte_code(), _salts(256), BYTE_BITS)
+                trim()
         step, part = 2 << PART_BITS, 0
         for table in (*tables, *spelling):
             for i in range(0, len(table), step):
                 if table[i : i + step].any():
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([_packed(table[i : i + step])], pa.binary())], ["part", "task", "counts"])
                 part += 1
+        del tables, spelling, table
+        trim()
 
     return learn
 
@@ -506,6 +511,8 @@ def _score(model, tables):
                 ids, learned = (batch.column(k)[row].values for k in (0, 1))
                 arrays = [ids, learned, pa.array(block.tokens), pa.array(seen), pa.array(base), pa.array(score * math.log10(2)), pa.array(block.size)]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "learned", "n_tokens", "n_known", "base", "score", "n_bytes"])
+                del token, own, symbol, share, new, pair, back, block
+                trim()
 
     return score
 
