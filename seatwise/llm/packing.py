@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,21 +17,24 @@ from .common import cut
 
 CAPACITY = 1024
 END_ID = 2
-#: Rounds of multiplicative weights; each fixes about 1 / ROUNDS of the sequences.
-ROUNDS = 400
-#: How strongly a length that lags behind is priced up, and how much more a long piece is worth than its ids.
-RATE, LARGE = 0.02, 0.1
-#: Salt of the numbering of pieces, so that a length that most pieces have is numbered in many parts.
-SALTS = 256
+#: Rounds of multiplicative weights; each gives a configuration 1 / ROUNDS of the sequences.
+ROUNDS = 200
+#: How fast a length's weight falls as it is covered, and how much more a long piece is worth at first than its ids.
+RATE, LARGE = 0.1, 0.1
+#: Pieces of one length that are numbered in one part.
+NUMBERED = 1 << 17
+#: Strings that are one id each, wherever they stand.
+WHOLE = {"<|endoftext|>": 50256}
 
 #: The vocabulary's split pattern, and the same without its look-ahead. They split alike where no two white
 #: space characters stand side by side; the second runs on a faster matcher.
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 _TWO_SPACES = re.compile(r"\s\s")
+_WHOLE = re.compile("(" + "|".join(map(re.escape, WHOLE)) + ")")
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary. ranks: the vocabulary as ranks; the same ids as its tokenizers file gives."""
+    """Ids of a byte-level BPE vocabulary, from its ranks. They are the ids that its tokenizers file gives (tested), in less time."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ranks_path, self.pattern = ranks_path, pattern
@@ -44,7 +48,13 @@ class ByteBpe:
         self.whole, self.plain = make("whole", self.pattern), make("plain", PLAIN_SPLIT)
 
     def encode(self, text: str) -> list[int]:
-        return (self.whole if _TWO_SPACES.search(text) else self.plain).encode_ordinary(text)
+        ids: list[int] = []
+        for part in _WHOLE.split(text) if "<|" in text else (text,):
+            if part in WHOLE:
+                ids.append(WHOLE[part])
+            elif part:
+                ids += (self.whole if _TWO_SPACES.search(part) else self.plain).encode_ordinary(part)
+        return ids
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
@@ -128,34 +138,90 @@ def best_filling(prices: np.ndarray, left: np.ndarray, capacity: int) -> np.ndar
     return used
 
 
+def solve(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
+    """A solution of the configuration LP by multiplicative weights: configurations and how many sequences use each, not whole.
+
+    The LP: fewest sequences so that configurations times uses cover the pieces of each length. Each length has a weight; a
+    round prices the lengths by weight, finds the best configuration by knapsack, gives it one of `rounds` equal shares of the
+    least number of sequences, and takes from the weight of each length by how much of its pieces that covers. So weights
+    fall all the way through with what is covered, and lengths that lag behind come up. First weights are as the ids, a
+    little more for long pieces, which are harder to place.
+    """
+    lengths = np.arange(len(histogram))
+    weight = lengths / capacity * (1 + LARGE * lengths / capacity)
+    share = (lengths * histogram).sum() / capacity / rounds
+    found: dict[bytes, list] = {}
+    for _ in range(rounds):
+        used = best_filling(weight, histogram, capacity)
+        found.setdefault(used.tobytes(), [used, 0.0])[1] += share
+        weight = weight * np.exp(-RATE * np.minimum(1.0, share * used / np.maximum(histogram, 1)))
+        weight /= weight[histogram > 0].max()
+    return [(used, x) for used, x in found.values()]
+
+
 def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations and how many sequences use each, which together hold every piece exactly once.
 
-    The configuration LP is: fewest sequences so that for each length, configurations times uses cover the pieces. Its
-    dual prices the lengths; the prices start at length / capacity, a little more for long pieces, which are harder to
-    place, and are updated multiplicatively by how far each length's covered share lags behind the mean. Each round prices a best configuration by knapsack and gives it about a share of
-    1 / rounds of the sequences, in whole uses and never more than the pieces left. When no piece is left the last uses,
-    of one sequence each, have been plain best-fit. The histogram has capacity entries, however many pieces there are.
+    Pieces of full length are sequences of their own. The LP's solution for the others is rounded: each configuration,
+    those with the most sequences first, is used as often as the LP says, rounded down, and as pieces are left. What is
+    then left, about a sequence for each configuration and what the LP has covered least, is packed best-fit. The
+    histogram has capacity + 1 entries, however many pieces there are, and a knapsack is solved once a round.
     """
     left = histogram.astype(np.int64).copy()
     lengths = np.arange(len(left))
     out = []
+
+    def take(used: np.ndarray, times: int) -> None:
+        some = np.flatnonzero(used)
+        times = int(min(times, (left[some] // used[some]).min()))
+        if times > 0:
+            left[some] -= used[some] * times
+            out.append((used, times))
+
     if left[capacity]:
         full = np.zeros(len(left), np.int64)
         full[capacity] = 1
-        out.append((full, int(left[capacity])))
-        left[capacity] = 0
-    total = left.copy()
-    share = max(1, int((lengths * left).sum() // capacity // rounds))
-    while left.any():
-        done = 1 - left / np.maximum(total, 1)
-        lag = np.average(done, weights=lengths * total) - done
-        used = best_filling(lengths / capacity * (1 + LARGE * lengths / capacity) * np.exp(RATE * lag), left, capacity)
-        some = np.flatnonzero(used)
-        times = int(min((left[some] // used[some]).min(), share))
-        left[some] -= used[some] * times
-        out.append((used, times))
-    return out
+        take(full, int(left[capacity]))
+    if (lengths * left).sum() > capacity * rounds:  # else each share is less than a sequence, and all would be rounded away
+        for used, times in sorted(solve(left, capacity, rounds), key=lambda x: -x[1]):
+            take(used, int(times))
+    return out + best_fit(left, capacity)
+
+
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations and uses: the longest pieces first, each where least room is left that holds it; alike sequences in one step."""
+    groups: dict[int, list[tuple[np.ndarray, int]]] = {}
+    rooms: list[int] = []
+
+    def put(used: np.ndarray, times: int, room: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            bisect.insort(rooms, room)
+        groups[room].append((used, times))
+
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
+            at = bisect.bisect_left(rooms, length)
+            if at < len(rooms):
+                room = rooms[at]
+                used, times = groups[room].pop()
+                now = min(n, times)
+                if now < times:
+                    groups[room].append((used, times - now))
+                elif not groups[room]:
+                    del groups[room], rooms[at]
+                used = used.copy()
+                used[length] += 1
+                put(used, now, room - length)
+                n -= now
+                continue
+            each = min(n, capacity // length)
+            used = np.zeros(len(left), np.int64)
+            used[length] = each
+            put(used, n // each, capacity - each * length)
+            n -= n // each * each
+    return [x for group in groups.values() for x in group]
 
 
 def slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -203,28 +269,35 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset and, with_ids, the ids themselves. A text is its
     ids and then end_id; null counts as empty, so every row has a piece. Longer ones are cut into full pieces, the first
-    piece taking what is over. Rows repeated with one id are packed each for itself; an empty table gives none.
+    piece taking what is over. Rows repeated with one id are packed each for itself; pieces that tie in everything may
+    swap places; an empty table gives none. Other columns are not read, so they may have any name. A very long text is
+    encoded whole, in memory of some 40 times its bytes at most, and its pieces lie in sequences like any other.
 
     Only the histogram of lengths, capacity + 1 counts, comes to the driver, where the LP is solved (see configurations).
-    Pieces are then numbered within their length, length and salt at a time, and each looks up its place in the broadcast
-    plan. The plan's size follows the number of lengths, not of pieces.
+    Full pieces are sequences of their own where they lie, with negative ids. The others are numbered within their length,
+    length and salt at a time, as many salts as make NUMBERED pieces each, and look up their places in the broadcast plan.
+    The plan's size follows the number of lengths, not of pieces.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = cut(texts.mapInArrow(_pieces(ranks_path, pattern, capacity, end_id, with_ids), schema), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # capacity rows at most
+    for length, n in pieces.groupBy("length").agg(F.count("*")).collect():  # capacity rows at most
         histogram[length] = n
+    full = pieces.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    histogram[capacity] = 0
+    salts = max(1, int(histogram.max()) // NUMBERED)
+    salted = pieces.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     places = docs.sparkSession.sparkContext.broadcast(slots(configurations(histogram, capacity)))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     numbered = salted.withColumn("own", F.row_number().over(own)).join(base, ["length", "salt"])  # both dealt by length and salt
     numbered = numbered.select("id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("own") - 1 + F.col("base")).alias("number"))
-    return numbered.mapInArrow(_placed(places), schema + ", sequence_id long, offset long").withColumnRenamed("id", id_col)
+    placed = numbered.mapInArrow(_placed(places), schema + ", sequence_id long, offset long")
+    return placed.unionByName(full).withColumnRenamed("id", id_col)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,10 +166,21 @@ def test_bpe_ids_are_the_tokenizers_ids():
     want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     bpe = packing.ByteBpe(*packing.vocabulary())
     bpe.load()
-    for text in ["", " ", "a  b\n\n c\t\td ", "it's we'll  'S 'tis", "x   y　z", "é1٣½ #!?\n", "\r\n\r\n  end  ", *(t for _, t in texts() if t)]:
+    for text in ["<|endoftext|>", "hi <|endoftext|> there", "a<|endoftext|><|endoftext|>  b", "<|endoftext| >", "x <|x|> <|endoftext|>\n\n", "", " ", "a  b\n\n c\t\td ", "it's we'll  'S 'tis", "x   y　z", "é1٣½ #!?\n", "\r\n\r\n  end  ", *(t for _, t in texts() if t)]:
         assert bpe.encode(text) == want.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_lp_bound_and_whole_rounding():
+    """Many pieces, so the LP's solution is used: near the bound by ids, every piece exactly once, at most capacity."""
+    r = np.random.default_rng(6)
+    histogram = np.bincount(np.minimum(1024, (r.exponential(300, 20_000) + 1).astype(int)), minlength=1025)
+    plan = packing.configurations(histogram, 1024)
+    assert (sum(u * k for u, k in plan) == histogram).all() and all((u * np.arange(1025)).sum() <= 1024 for u, _ in plan)
+    assert sum(k for _, k in plan) <= 1.001 * (histogram * np.arange(1025)).sum() / 1024 + 1
+    solution = packing.solve(np.where(np.arange(1025) < 1024, histogram, 0), 1024)
+    assert all((u * np.arange(1025)).sum() <= 1024 for u, _ in solution)
+
+
 def test_packing_is_as_dense_as_best_fit():
     import bisect
 
@@ -364,6 +375,55 @@ def test_quality(docs, none, monkeypatch):
     assert again == {(r.doc_id, round(r.bits_per_char, 6), r.kept) for r in rows}
 
 
+def test_bands_reject_junk_on_both_sides_and_keep_clean_texts(spark):
+    """Tables of symbols and noise lie above a language's band, a text of few words below; texts like the others stay."""
+    r = random.Random(12)
+    pool = ["".join(r.choice(["ta", "lo", "mi", "ren", "su"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    clean = [(i, " ".join(r.choice(pool) for _ in range(r.randint(80, 300)))) for i in range(300)]
+    table = [(1000 + i, " ".join("".join(r.choice(pool) for _ in range(3)) + "$#&"[i % 3] for _ in range(120))) for i in range(10)]
+    noise = [(2000 + i, " ".join("".join(r.choice("qxzvkjwpbd") for _ in range(6)) for _ in range(120))) for i in range(5)]
+    few = [(3000, " ".join("ta" * (1 + k * k % 23) for k in range(200)))]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in clean + table + noise + few], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.quality_rules(docs).collect()}
+    assert all(got[i].kept for i, _ in clean)
+    for i, _ in table + noise:
+        assert not got[i].kept and not got[i].base_failed and got[i].bits_per_char > got[i].high
+    again = {x.doc_id: x.kept for x in quality.quality_rules(docs.repartition(7)).collect()}
+    assert again == {i: x.kept for i, x in got.items()}
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Interpolated modified Kneser-Ney over characters, by dictionaries."""
+    r = random.Random(2)
+    rows = ["".join(r.choice("ab cd") for _ in range(r.randint(0, 80))) for _ in range(40)]
+    model = {x.gram: x.bits for x in quality.kneser_ney(spark.createDataFrame([(t, "en") for t in rows], "text string, lang string")).collect()}
+    top = Counter(("\0\0\0" + t)[i : i + 4] for t in rows for i in range(len(t)))
+    levels = {4: top}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def discounts(level):
+        t = {k: sum(n == k for n in level.values()) for k in (1, 2, 3, 4)}
+        y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
+        found = []
+        for k in (1, 2, 3):
+            d = k - 0.5 if not t[k] or y is None else k - (k + 1) * y * t[k + 1] / t[k]
+            found.append(max(0.1, min(k - 0.1, d)))
+        return lambda n: found[min(n, 3) - 1]
+
+    p = {"": 1 / len(levels[1])}
+    for k in (1, 2, 3, 4):
+        d, total, freed = discounts(levels[k]), Counter(), defaultdict(float)
+        for g, n in levels[k].items():
+            total[g[:-1]] += n
+            freed[g[:-1]] += d(n)
+        lower = p
+        p = {g: (n - d(n) + freed[g[:-1]] * lower[g[1:]]) / total[g[:-1]] for g, n in levels[k].items()}
+    keys = {int(quality.gram_keys([t], np.array([quality.language_code("en")]))[0][i].astype(np.int64)): ("\0\0\0" + t)[i : i + 4] for t in rows for i in range(len(t))}
+    assert set(keys) == set(model) and len(keys) == len(top)
+    assert all(abs(model[key] + math.log2(p[g])) < 1e-4 for key, g in keys.items())
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts_ = spark.createDataFrame([(t or "", "en") for _, t in texts() if t], "text string, lang string")
     model = {r.gram: 2.0**-r.bits for r in quality.kneser_ney(texts_).collect()}
