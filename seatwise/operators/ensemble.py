@@ -105,9 +105,9 @@ def confidence(post: DataFrame, agree: DataFrame, top1: float) -> DataFrame:
 
 
 def model_picks(scored: DataFrame, models: list[str]) -> DataFrame:
-    """Each model's first name of each seat; of equal ones the earliest known."""
-    best = [F.max_by("prof_key", F.when(F.col(m).isNotNull(), F.struct(F.col(m), -F.col("cand_seq")))).alias(m) for m in models]
-    return scored.groupBy(*SEAT).agg(*best)
+    """Each model's first name of each seat, in the order of ranks: a missing value is 0, of equal ones the earliest known is first."""
+    first = ranks(scored, models).filter("rank = 1")
+    return first.groupBy(*SEAT).agg(*(F.max(F.when(F.col("model") == m, F.col("prof_key"))).alias(m) for m in models))
 
 
 def agreement(picks: DataFrame, models: list[str]) -> DataFrame:

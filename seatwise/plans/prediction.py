@@ -291,4 +291,6 @@ def mean_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _closed(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
     _, ev, seats = _parts(spark, sf_dir, BACKTEST)
     rows = history.features(seats, ev).withColumn("label", (F.col("prof_key") == F.col("truth")).cast("int"))
+    # The fit and the rows that it is applied to both read these columns: features are worked out once.
+    rows = rows.select("course_code", "target", "section", "prof_key", "section_exact", "slot_affinity", "recency", "label").cache()
     return _rounded(fit(rows, ["section_exact", "slot_affinity", "recency"], "label").select("course_code", "target", "section", "prof_key", "p"))
