@@ -64,3 +64,13 @@ def format_percent(p: Column) -> Column:
         F.when(percent >= 99.95, ">99.9%").when(percent >= 10, F.concat(F.round(percent, 0).cast("int").cast("string"), F.lit("%")))
         .when(percent >= 0.1, F.format_string("%.1f%%", F.round(percent, 1))).when(percent > 0, "<0.1%").otherwise("0%")
     )
+
+
+#: Fixed pattern: a section behind a dash at a label's end.
+DASHED = r"[-\u2013]\s*([A-Za-z0-9][A-Za-z0-9-]*)\s*$"
+
+
+def labelled_section(section: Column, label: Column) -> Column:
+    """The section itself, or where it is missing what stands behind the last dash of a label such as "MATH 31 - A1"."""
+    behind = F.regexp_extract(label, DASHED, 1)
+    return F.coalesce(section, F.when(behind != "", behind))

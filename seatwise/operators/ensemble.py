@@ -94,6 +94,48 @@ def first_guesses(scored: DataFrame, per_seat: int = 5, temperature: float = 1.5
     return softmax(few, "heuristic", temperature).select(*SEAT, "family", "prof_key", "cand_seq", F.col("share").alias("probability"))
 
 
+def placed(scored: DataFrame, novelty: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """Adds novelty, prob (the softmax of score times 1 - novelty) and place; of equal probs (by 9 digits) the earliest known is first."""
+    at = softmax(scored, "score", temperature).join(novelty, KEY).withColumn("prob", F.col("share") * (1 - F.col("novelty")))
+    by = Window.partitionBy(*SEAT).orderBy(F.round("prob", 9).desc(), "cand_seq", "prof_key")
+    return at.withColumn("place", F.row_number().over(by))
+
+
+def refreshed_guesses(scored: DataFrame, novelty: DataFrame, per_seat: int = 5, temperature: float = 1.0) -> DataFrame:
+    """The first few of each seat after blending and votes, with their probabilities as they are (not shared out anew)."""
+    few = placed(scored, novelty, temperature).filter(F.col("place") <= per_seat)
+    return few.select(*SEAT, "family", "prof_key", "cand_seq", F.col("prob").alias("probability"))
+
+
+def confirmed_shortlist(at: DataFrame, confirmed: DataFrame, limit: int = 5, least: float = LEAST_SHARE) -> DataFrame:
+    """Short lists of placed rows, where a confirmed holder comes first with prob 1 and leaves no share to somebody new.
+
+    confirmed: course_code, term, section (trimmed and upper-cased here), prof_key, at. Of several of a seat the last by at
+    counts. The holder may be no candidate; lists stay at limit names.
+    """
+    mark = confirmed.select("course_code", F.col("term").alias("target"), F.upper(F.trim("section")).alias("section"), F.struct("at", F.col("prof_key").alias("named")).alias("last"))
+    last = mark.groupBy(*SEAT).agg(F.max("last").alias("last")).select(*SEAT, F.col("last.named").alias("named"))
+    few = at.filter((F.col("place") <= limit) & ((F.col("place") == 1) | (F.col("prob") >= least))).join(last, SEAT, "left")
+    others = few.filter(~F.col("prof_key").eqNullSafe(F.col("named"))).select(*SEAT, "prof_key", "prob", (F.col("place") + 1).alias("place"), F.lit(False).alias("confirmed"), F.when(F.col("named").isNull(), F.col("novelty")).otherwise(0.0).alias("new_share"))
+    own = last.select(*SEAT, F.col("named").alias("prof_key"), F.lit(1.0).alias("prob"), F.lit(1).alias("place"), F.lit(True).alias("confirmed"), F.lit(0.0).alias("new_share"))
+    by = Window.partitionBy(*SEAT).orderBy("place")
+    return others.union(own).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit).drop("place")
+
+
+def ensemble_metrics(at: DataFrame) -> DataFrame:
+    """Per fold, and as the mean of folds (target null), of placed rows with truth: hits, Brier score, and the share that could be hit.
+
+    A truth that is no candidate is a miss with probability 0.
+    """
+    own = lambda c: F.max(F.when(F.col("prof_key") == F.col("truth"), F.col(c)))
+    seat = at.groupBy(*SEAT).agg(own("place").alias("r"), own("prob").alias("p"))
+    within = lambda k: F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)).alias(f"top{k}")
+    miss = 1 - F.coalesce("p", F.lit(0.0))
+    folds = seat.groupBy("target").agg(F.count("*").alias("samples"), within(1), within(3), within(5), F.avg(miss * miss).alias("brier"), F.avg(F.col("r").isNotNull().cast("double")).alias("ceiling"))
+    means = [F.avg(c).alias(c) for c in ("top1", "top3", "top5", "brier", "ceiling")]
+    return folds.union(folds.agg(F.lit(None).cast("int").alias("target"), F.coalesce(F.sum("samples"), F.lit(0)).alias("samples"), *means))
+
+
 def confidence(post: DataFrame, agree: DataFrame, top1: float) -> DataFrame:
     """Percent by seat from the first share, agreement of models, margin and backtest accuracy."""
     known = post.filter(F.col("prof_key") != NOVEL)

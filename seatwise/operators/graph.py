@@ -20,7 +20,10 @@ def conflicts(seats: DataFrame) -> DataFrame:
 
 
 def conflict_groups(seats: DataFrame) -> DataFrame:
-    """course_code, section, grp: the smallest section that overlaps reach. Smallest labels spread until none changes."""
+    """course_code, section, grp: the smallest section that overlaps reach. Smallest labels spread until none changes.
+
+    A chain of more than ROUNDS seats raises an error, so no unfinished label is returned.
+    """
     edges = conflicts(seats)
     both = edges.union(edges.select("course_code", F.col("b"), F.col("a"))).cache()
     label = seats.select("course_code", "section", F.col("section").alias("grp"))
@@ -29,5 +32,5 @@ def conflict_groups(seats: DataFrame) -> DataFrame:
         step = label.join(near, ["course_code", "section"], "left").select("course_code", "section", F.least("grp", "near").alias("grp"), (F.col("near") < F.col("grp")).alias("moved")).cache()
         label = step.select("course_code", "section", "grp")
         if not step.filter("moved").limit(1).count():
-            break
-    return label
+            return label
+    raise RuntimeError(f"labels still change after {ROUNDS} rounds")

@@ -176,7 +176,8 @@ def lineup(ranked: DataFrame, capacity: DataFrame, groups: DataFrame) -> DataFra
     """One name for each seat so that the summed -log probability is least and nobody has more seats than they use to.
 
     ranked: course_code, section, prof_key, prob, rank. In each group of overlapping seats the surer ones keep a name that
-    two have got; the other takes its best name that is free there, or stays empty. One task per course.
+    two have got; the other takes its best name that is free there, or stays empty. One task per course. A fixed rule of the
+    assignment: of a course's places by capacity, in the order of names, the first MOST_SLOTS take part.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

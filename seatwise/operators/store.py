@@ -80,3 +80,8 @@ def inherit_sections(rows: DataFrame, target: int) -> DataFrame:
     newest = Window.partitionBy("course_code", "section").orderBy(F.desc("term"), "seq")
     old = old.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n").withColumn("inherited_from", F.col("term"))
     return own.unionByName(old.withColumn("term", F.lit(target)).withColumn("prof_key", F.lit("")))
+
+
+def cleared(rows: DataFrame, courses: DataFrame) -> DataFrame:
+    """rows without the partitions of courses (course_code)."""
+    return rows.join(courses.select("course_code").distinct(), "course_code", "left_anti")

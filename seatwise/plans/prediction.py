@@ -200,11 +200,16 @@ BLEND_SQL = f"""blended AS (
 )"""
 
 
-def _blended(seats: DataFrame, ev: DataFrame) -> DataFrame:
-    scored = ensemble.blend(_full(seats, ev), BLEND).withColumn("score", F.round("score", 9))
+def voted(full: DataFrame) -> DataFrame:
+    """Blend and votes of rows with all models."""
+    scored = ensemble.blend(full, BLEND).withColumn("score", F.round("score", 9))
     return ensemble.votes(scored.withColumns({m: F.round(m, 9) for m in MODELS}), BLEND)
 
 
+def _blended(seats: DataFrame, ev: DataFrame) -> DataFrame:
+    return voted(_full(seats, ev))
+
+
 @query("E05_E06_F02_W10_blend_votes", f"{TERM_SQL}, {SPECIAL_SQL}, {BLEND_SQL} SELECT course_code, target, section, prof_key, {_r('borda', 'score')} FROM voted")
 def blend_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ev, seats = _parts(spark, sf_dir)

@@ -188,5 +188,5 @@ def identify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed names against the known names of the same course (brand)."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_name", "p_partkey")
     known = part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
-    typed = part.select("p_brand", F.concat(F.substring("p_name", 2, 30), F.lit(" jr")).alias("typed")).distinct()
+    typed = part.select("p_brand", F.concat(F.expr("substring(p_name, 2)"), F.lit(" jr")).alias("typed")).distinct()
     return names.best_matches(typed, known, "typed", "p_name", ["p_brand"])
