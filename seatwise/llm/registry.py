@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, exact_dedup, licenses, line_dedup, lm, mixing, packing, quality, resample, simhash, warc, yinyang
+from . import chat, exact_dedup, licenses, line_dedup, lm, minhash, mixing, packing, quality, resample, simhash, warc, yinyang
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_packing": packing.op10_packing,
     "op11_resample": resample.op11_resample,
+    "op12_minhash": minhash.op12_minhash,
     "op13_compress": yinyang.op13_compress,
 }
 ORACLES = {
@@ -21,5 +22,6 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_resample": resample.ORACLE,
+    "op12_minhash": minhash.ORACLE,
     "op13_compress": yinyang.ORACLE,
 }
