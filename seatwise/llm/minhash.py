@@ -7,18 +7,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, cut, drop, mix64, span_hashes, text_buffers, word_spans
 from .components import components
 
 #: The signature: chunks of so many 16-bit values. A chunk counts as met with at most ERRORS values differing.
-CHUNKS, WIDTH, ERRORS = 14, 4, 1
-#: Signatures that differ in at most this many of the values meet in two chunks at least (by pigeonhole), so a bucket may be split by the second.
-DISTANCE = (ERRORS + 1) * (CHUNKS - 1) - 1
-#: A bucket whose unconnected pairs are over this many for each of its members is split.
-PAIRS = 2 * CHUNKS * WIDTH
+CHUNKS, WIDTH, ERRORS = 12, 4, 1
+#: By pigeonhole, signatures that differ in at most this many of the values meet in a chunk.
+DISTANCE = (ERRORS + 1) * CHUNKS - 1
+#: A bucket whose unconnected pairs are over this many for each of its members is joined by rare shingles.
+PAIRS = 16
 #: Shingles of one vectorised step, and bytes kept of a shingle's hash when sets are compared.
 STEP, KEPT = 1 << 17, 5
 
@@ -131,26 +131,49 @@ def _stars(keyed: DataFrame, order: Column) -> DataFrame:
 
 
 def _unconnected(rooted: DataFrame) -> DataFrame:
-    """key, n (nodes) and pairs of each bucket (key, node, root, size) that holds several roots; pairs are those of different roots."""
+    """key, n (nodes), pairs, main of each bucket (key, node, root, size) that holds several roots; pairs are those of different roots, main the commonest root."""
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("k"))
-    one = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares"))
-    return one.filter("roots > 1").select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs"))
+    one = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k")).alias("squares"), F.max(F.struct("k", "root")).alias("m"))
+    return one.filter("roots > 1").select("key", "n", ((F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.col("m.root").alias("main"))
 
 
 def _met(rooted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket with different roots and sizes that allow the similarity."""
-    x, y = rooted.alias("x"), rooted.alias("y")
+    """All pairs of a bucket (key, node, root, size, main) with different roots and sizes that allow the similarity. Nodes of the main root aren't joined with each other."""
+    x, y, z = rooted.filter("root <> main").alias("x"), rooted.filter("root = main").alias("y"), rooted.filter("root <> main").alias("y")
     fits = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
-    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits)
-    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    key = F.col("x.key") == F.col("y.key")
+    both = x.join(y, key & fits).union(x.join(z, key & fits & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))))
+    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            grams = _unpacked(batch.column(3)[row].as_py()).view(np.int64)
+            for k in range(0, len(grams), STEP):
+                part = grams[k : k + STEP]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(part), batch.column(c)[row].as_py())) for c in range(3)), pa.array(part)], ["node", "root", "size", "key"])
+
+
+def _rare_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the nodes (node, root, size) that may overlap by percent and have different roots, by their rarest shingles.
+
+    In any one order, two such sets share one of the first n - percent of n + 1 shingles of each. The order puts those first that
+    meet one root only, and then the rare ones; so texts that share a long passage and nothing else don't meet.
+    """
+    listed = cut(hot.join(sets.select("node", "grams"), "node").select("node", "root", "size", "grams").mapInArrow(_listed, "node bigint, root bigint, size bigint, key bigint"), "listed")
+    at = listed.join(_unconnected(listed).select("key", "n", "main"), "key")
+    own, ranked = Window.partitionBy("node"), Window.partitionBy("node").orderBy("n", "key")
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.count("*").over(own))
+    return _met(at.withColumn("within", F.row_number().over(ranked) <= first).filter("within"), percent)
 
 
 def near_links(classes: DataFrame, texts_of, percent: int, most: int = PAIRS) -> DataFrame:
     """Links (a, b) that connect all classes (node, size, sig) whose signatures are within DISTANCE and whose sets overlap by percent.
 
     Classes meet under the keys of their chunks. First each is compared with its buckets' leaders, the class that meets the most; of
-    the rest, only pairs that these links leave unconnected are compared. A bucket with too many of them is split by the keys
-    of a second chunk, which two signatures within the distance share too. texts_of: gives (node, n, grams) of some nodes.
+    the rest, only pairs that these links leave unconnected are compared. The nodes of buckets with too many of them, such as of a
+    passage in many texts, are paired by rare shingles instead, which loses none. texts_of: gives (node, n, grams) of some nodes.
     """
     spark = classes.sparkSession
     keyed = classes.select("node", "size", F.explode(chunk_keys()).alias("key"))
@@ -163,13 +186,9 @@ def near_links(classes: DataFrame, texts_of, percent: int, most: int = PAIRS) ->
     rooted = cut(rooted, "rooted")
     open_ = cut(_unconnected(rooted), "open")
     large = F.col("pairs") > most * F.col("n")
-    rest = _met(rooted.join(open_.filter(~large).select("key"), "key", "left_semi"), percent)
-    chunk = lambda at: F.floor(at / len(list(combinations(range(WIDTH), ERRORS))))
-    hot = rooted.join(open_.filter(large).select("key"), "key", "left_semi").join(sigs, "node").withColumn("keys", chunk_keys())
-    split = hot.select("key", "node", "root", "size", (F.array_position("keys", F.col("key")) - 1).alias("own"), F.posexplode("keys").alias("at", "second"))
-    split = split.filter(chunk(F.col("at")) != chunk(F.col("own")))
-    split = split.select(F.xxhash64("key", "second").alias("key"), "node", "root", "size")
-    rest = rest.union(_met(split, percent)).distinct()
+    rest = _met(rooted.join(open_.filter(~large).select("key", "main"), "key"), percent)
+    hot = rooted.join(open_.filter(large).select("key"), "key", "left_semi").select("node", "root", "size").distinct()
+    rest = rest.union(_rare_pairs(hot, sets, percent)).distinct()
     links = cut(star.union(confirmed(rest, sigs, sets, percent, DISTANCE)), "links")
     drop(spark, keyed, meets, sigs, sets, star, rooted, open_)
     return links
@@ -179,8 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For every row of docs: id_col, n_shingles (distinct), component_id (the smallest id that its links reach), kept (it is that id).
 
     Texts are linked where the sets of their shingles of so many words (A-Z in lower case; fewer words are one shingle) overlap by
-    percent of their union or more. Candidates are all pairs whose signatures of 56 values of 16 bits differ in at most 25;
-    at a similarity of just 0.8 all but 8 pairs in a million do, whatever the number of texts. Candidates are then
+    percent of their union or more. Candidates are all pairs whose signatures of 48 values of 16 bits differ in at most 23;
+    at a similarity of just 0.8 all but 4 pairs in a million do, whatever the number of texts. Candidates are then
     compared by their full sets, whose sizes count 64-bit hashes and whose overlap counts 40 bits of these.
 
     Texts of equal sets are one class, so copies are never paired. Null and empty texts, and those without a word, have no
