@@ -16,7 +16,7 @@ from .common import cut, drop, text_buffers
 #: Letters A-Z lower-cased, and every ASCII byte that is neither letter nor digit a space; bytes of other characters stay.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
 #: Bytes of one text that are handled at a time, and entries of a block of the matrix.
-PIECE, BLOCK = 1 << 20, 1 << 18
+PIECE, BLOCK = 1 << 20, 1 << 15
 
 
 def buckets_of(text: bytes, longest: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
