@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, prediction, scalars, second_pass, shortlists, tables
+from . import documents, ingest, prediction, scalars, second_pass, shortlists, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scalars, tables, prediction, second_pass, shortlists, ingest):
+for _module in (scalars, tables, prediction, second_pass, shortlists, ingest, documents):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
