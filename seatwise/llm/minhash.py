@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, cut, drop, mix64, span_hashes, text_buffers, word_spans
+from .common import LOWER, blocks, cut, drop, mix64, span_hashes, text_buffers, trim, word_spans
 from .components import components
 
 #: The signature: chunks of so many 16-bit values. A chunk counts as met with at most ERRORS values differing.
@@ -19,8 +19,8 @@ CHUNKS, WIDTH, ERRORS = 12, 4, 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 #: A bucket whose unconnected pairs are over this many for each of its members is joined by rare shingles.
 PAIRS = 16
-#: Shingles of one vectorised step, and bytes kept of a shingle's hash when sets are compared.
-STEP, KEPT = 1 << 17, 5
+#: Shingles and bytes of text of one vectorised step, and bytes kept of a shingle's hash when sets are compared.
+STEP, PIECE, KEPT = 1 << 17, 1 << 19, 5
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +59,8 @@ def signatures(grams: np.ndarray, sizes: np.ndarray, values: int) -> np.ndarray:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from blocks([batch], batch.num_columns - 1)
+        yield from blocks([batch], batch.num_columns - 1, PIECE)
+    trim()
 
 
 def _prints(words: int, values: int):
