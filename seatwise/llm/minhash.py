@@ -139,9 +139,14 @@ def _unconnected(rooted: DataFrame) -> DataFrame:
 
 
 def _met(rooted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket (key, node, root, size, main) with different roots and sizes that allow the similarity. Nodes of the main root aren't joined with each other."""
+    """All pairs of a bucket (key, node, root, size, place, main) with different roots that may be similar. Nodes of the main root aren't joined with each other.
+
+    place: the key's in the order of the node's set, from 1. Two sets that overlap by enough have, at the first key they share, as many
+    left on either side as the overlap needs.
+    """
     x, y, z = rooted.filter("root <> main").alias("x"), rooted.filter("root = main").alias("y"), rooted.filter("root <> main").alias("y")
-    fits = F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
+    fits = (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent) & (left * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent)
     key = F.col("x.key") == F.col("y.key")
     both = x.join(y, key & fits).union(x.join(z, key & fits & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))))
     return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
@@ -165,8 +170,8 @@ def _rare_pairs(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     listed = cut(hot.join(sets.select("node", "grams"), "node").select("node", "root", "size", "grams").mapInArrow(_listed, "node bigint, root bigint, size bigint, key bigint"), "listed")
     at = listed.join(_unconnected(listed).select("key", "n", "main"), "key")
     own, ranked = Window.partitionBy("node"), Window.partitionBy("node").orderBy("n", "key")
-    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.count("*").over(own))
-    return _met(at.withColumn("within", F.row_number().over(ranked) <= first).filter("within"), percent)
+    place = F.row_number().over(ranked) + F.col("size") - F.count("*").over(own)
+    return _met(at.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1), percent)
 
 
 def near_links(classes: DataFrame, texts_of, percent: int, most: int = PAIRS) -> DataFrame:
@@ -187,7 +192,7 @@ def near_links(classes: DataFrame, texts_of, percent: int, most: int = PAIRS) ->
     rooted = cut(rooted, "rooted")
     open_ = cut(_unconnected(rooted), "open")
     large = F.col("pairs") > most * F.col("n")
-    rest = _met(rooted.join(open_.filter(~large).select("key", "main"), "key"), percent)
+    rest = _met(rooted.join(open_.filter(~large).select("key", "main", F.lit(1).alias("place")), "key"), percent)
     hot = rooted.join(open_.filter(large).select("key"), "key", "left_semi").select("node", "root", "size").distinct()
     rest = rest.union(_rare_pairs(hot, sets, percent)).distinct()
     links = cut(star.union(confirmed(rest, sigs, sets, percent, DISTANCE)), "links")
