@@ -108,8 +108,8 @@ def time_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(a - b) / float(TIME_REACH)), F.lit(0.0))
 
 
-def decay_weight(term: Column, target: Column, half_life: float = HALF_LIFE) -> Column:
-    return F.pow(F.lit(0.5), F.abs(distance(term, target)) / float(half_life))
+def decay_weight(term: Column, target: Column, half_life: float | Column = HALF_LIFE) -> Column:
+    return F.pow(F.lit(0.5), F.abs(distance(term, target)) / half_life)
 
 
 #: Words by which labels name a semester.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sections import section_family
 from .history import KEY
 
 #: Guesses below this share are ignored.
@@ -55,18 +56,39 @@ def bundles(ev: DataFrame) -> DataFrame:
 
 
 def partner_features(scored: DataFrame, guesses: DataFrame, ev: DataFrame) -> DataFrame:
-    """Fills partner_cond, partner_pair and bundle_fit of every seat and candidate from the guesses about other seats."""
+    """Fills partner_cond, partner_pair and bundle_fit of every seat and candidate from the guesses about other seats.
+
+    Candidates and guesses are never paired: guesses are joined to what was seen together, so only what isn't zero is a row. A seat's
+    sums are those over all guesses less those about the seat itself; whether any guess is left is told by whole numbers.
+    """
     g = guesses.filter(F.col("probability") >= LEAST_GUESS).select(*KEY, F.col("section").alias("g_section"), F.col("family").alias("g_family"), F.col("prof_key").alias("g_prof"), F.col("probability").alias("p"))
-    at = scored.select(*KEY, "section", "family", "prof_key").join(g, KEY).filter("section <> g_section")
-    at = at.join(seat_given_seat(ev), [*KEY, "g_section", "g_prof", "section", "prof_key"], "left").join(family_given_family(ev), [*KEY, "g_family", "g_prof", "family", "prof_key"], "left")
-    at = at.join(bundles(ev), [*KEY, "prof_key", "g_family", "family"], "left")
-    at = at.withColumn("a", F.least("prof_key", "g_prof")).withColumn("b", F.greatest("prof_key", "g_prof")).join(pairs(ev), [*KEY, "a", "b"], "left")
+    ours = ["p_same", "n_same", "seat", "seat_family", "own_family", "own_pair", "own_bundle"]
+
+    def rows(df: DataFrame, section: str, **given) -> DataFrame:
+        return df.select(*KEY, "prof_key", F.col(section).alias("section"), *(given.get(c, F.lit(0.0)).cast("double").alias(c) for c in ours))
+
+    families = family_given_family(ev)
+    by_seat = g.join(seat_given_seat(ev), [*KEY, "g_section", "g_prof"]).withColumn("family", section_family(F.col("section"))).join(families, [*KEY, "g_family", "g_prof", "family", "prof_key"], "left")
+    by_family = g.join(families, [*KEY, "g_family", "g_prof"]).withColumn("v", F.col("p") * F.col("p_family"))
     busy = activity(ev)
-    at = at.join(busy, [*KEY, "prof_key"], "left").join(busy.select(*KEY, F.col("prof_key").alias("g_prof"), F.col("active").alias("g_active")), [*KEY, "g_prof"], "left")
-    same = F.col("g_prof") == F.col("prof_key")
-    cond = F.when(F.coalesce("p_seat", F.lit(0.0)) > 0, F.col("p_seat")).otherwise(F.coalesce("p_family", F.lit(0.0)))
-    pair = F.least(F.lit(1.0), F.coalesce(F.col("together") / F.least("active", "g_active"), F.lit(0.0)))
-    mean = lambda value, when: F.coalesce(F.sum(F.when(when, F.col("p") * value)) / F.sum(F.when(when, F.col("p"))), F.lit(0.0))
-    agg = at.groupBy(*KEY, "section", "prof_key").agg(mean(cond, F.lit(True)).alias("partner_cond"), mean(pair, ~same).alias("partner_pair"), mean(F.coalesce("p_bundle", F.lit(0.0)), same).alias("bundle_fit"))
-    out = scored.drop("partner_cond", "partner_pair", "bundle_fit").join(agg, [*KEY, "section", "prof_key"], "left")
-    return out.fillna(0.0, ["partner_cond", "partner_pair", "bundle_fit"])
+    known = pairs(ev).join(busy.select(*KEY, F.col("prof_key").alias("a"), F.col("active").alias("x")), [*KEY, "a"]).join(busy.select(*KEY, F.col("prof_key").alias("b"), F.col("active").alias("y")), [*KEY, "b"])
+    known = known.select(*KEY, F.explode(F.array(F.struct(F.col("a").alias("prof_key"), F.col("b").alias("g_prof")), F.struct(F.col("b").alias("prof_key"), F.col("a").alias("g_prof")))).alias("d"), F.least(F.lit(1.0), F.col("together") / F.least("x", "y")).alias("v"))
+    by_pair = g.join(known.select(*KEY, "d.prof_key", "d.g_prof", "v"), [*KEY, "g_prof"]).withColumn("v", F.col("p") * F.col("v"))
+    by_bundle = g.withColumn("prof_key", F.col("g_prof")).join(bundles(ev), [*KEY, "prof_key", "g_family"]).withColumn("v", F.col("p") * F.col("p_bundle"))
+    kin = F.col("g_family") == F.col("family")
+    own = rows(g.withColumn("prof_key", F.col("g_prof")), "g_section", p_same=F.col("p"), n_same=F.lit(1)).unionByName(rows(by_seat, "section", seat=F.col("p") * F.col("p_seat"), seat_family=F.col("p") * F.coalesce("p_family", F.lit(0.0))))
+    own = own.unionByName(rows(by_family.filter(kin), "g_section", own_family=F.col("v"))).unionByName(rows(by_pair, "g_section", own_pair=F.col("v"))).unionByName(rows(by_bundle.filter(kin), "g_section", own_bundle=F.col("v")))
+    own = own.groupBy(*KEY, "prof_key", "section").agg(*(F.sum(c).alias(c) for c in ours))
+    holder = g.groupBy(*KEY, F.col("g_prof").alias("prof_key")).agg(F.sum("p").alias("all_same"), F.count("*").alias("all_n_same"))
+    holder = holder.join(by_pair.groupBy(*KEY, "prof_key").agg(F.sum("v").alias("all_pair")), [*KEY, "prof_key"], "full")
+    family = by_family.groupBy(*KEY, "prof_key", "family").agg(F.sum("v").alias("all_family")).join(by_bundle.groupBy(*KEY, "prof_key", "family").agg(F.sum("v").alias("all_bundle")), [*KEY, "prof_key", "family"], "full")
+    here, every = g.groupBy(*KEY, F.col("g_section").alias("section")).agg(F.sum("p").alias("p_here"), F.count("*").alias("n_here")), g.groupBy(*KEY).agg(F.sum("p").alias("p_all"), F.count("*").alias("n_all"))
+    sums = [*ours, "all_same", "all_n_same", "all_pair", "all_family", "all_bundle", "p_here", "n_here", "p_all", "n_all"]
+    at = scored.drop("partner_cond", "partner_pair", "bundle_fit").join(own, [*KEY, "prof_key", "section"], "left").join(holder, [*KEY, "prof_key"], "left").join(family, [*KEY, "prof_key", "family"], "left")
+    at = at.join(here, [*KEY, "section"], "left").join(every, KEY, "left").fillna(0, sums)
+    c = F.col
+    n, n_same = c("n_all") - c("n_here"), c("all_n_same") - c("n_same")
+    p, p_same = c("p_all") - c("p_here"), c("all_same") - c("p_same")
+    share = lambda part, whole, any_: F.when(any_ > 0.5, F.greatest(F.lit(0.0), part / whole)).otherwise(0.0)
+    at = at.withColumn("partner_cond", share(c("seat") + c("all_family") - c("own_family") - c("seat_family"), p, n)).withColumn("partner_pair", share(c("all_pair") - c("own_pair"), p - p_same, n - n_same)).withColumn("bundle_fit", share(c("all_bundle") - c("own_bundle"), p_same, n_same))
+    return at.drop(*sums)

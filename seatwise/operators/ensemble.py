@@ -24,7 +24,7 @@ VOTE = {"pad": 1, "depth": 5, "floor": 0.02, "mix": 0.4}
 CROSS_PRIOR = 5.0
 LEAST_SHARE = 0.005
 #: Temperatures that calibration tries.
-TEMPERATURES = (0.35, 0.5, 0.65, 0.8, 1.0, 1.2, 1.5, 1.8, 2.2, 2.6, 3.2, 4.0)
+TEMPERATURES = (0.15, 0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0, 4.0, 6.0)
 
 
 def specialists(features: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ GONE, RECENT_GAP, FEW_TERMS, HIGH_TURNOVER = 4, 2, 2, 0.45
 NOVELTY_LOW, NOVELTY_HIGH, NOVELTY_DEFAULT = 0.02, 0.6, 0.15
 
 
-def evidence(records: DataFrame, targets: DataFrame, half_life: float = HALF_LIFE) -> DataFrame:
+def evidence(records: DataFrame, targets: DataFrame, half_life: float | Column = HALF_LIFE) -> DataFrame:
     """Rows before each target, with decay weight and parsed columns computed once, ahead of any pairing.
 
     targets: a column target. It is a short list of terms, and joined by range; this is the barrier that keeps what is to be
@@ -97,7 +97,7 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.least(F.lit(1.0), F.coalesce(part, F.lit(0.0)) / whole)).otherwise(0.0)
 
 
-def features(seats: DataFrame, ev: DataFrame, half_life: float = HALF_LIFE, verified: DataFrame | None = None) -> DataFrame:
+def features(seats: DataFrame, ev: DataFrame, half_life: float | Column = HALF_LIFE, verified: DataFrame | None = None) -> DataFrame:
     """Features of every seat and candidate that need no guess about other seats (the three partner features are 0).
 
     All joins are on course and target and more, so one partitioning by (course_code, target) serves the whole plan. The
@@ -133,7 +133,7 @@ def features(seats: DataFrame, ev: DataFrame, half_life: float = HALF_LIFE, veri
         "day_affinity": best(day),
         "time_affinity": best(time),
         "room_affinity": F.when(F.col("seat_room") != "", _share(F.col("w_room"), F.col("weight"))).otherwise(0.0),
-        "recency": F.pow(F.lit(0.5), F.col("gap") / float(half_life)),
+        "recency": F.pow(F.lit(0.5), F.col("gap") / half_life),
         "streak": F.size(F.array_intersect(recent, F.col("terms"))) / F.size(recent),
         "load_share": F.least(F.lit(1.0), F.col("avg_load") / 4),
         "tenure": F.least(F.lit(1.0), F.col("tenure")),

@@ -73,6 +73,34 @@ def free_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.section(n).alias("section"), text.person(n).alias("person"), text.room(n).alias("room"), "s.time_start", "s.time_end")
 
 
+#: Notes by line number, with the person, section, room and schedule that each holds.
+_NOTES = [
+    ("CMSC 12 - B%n (MWF) LECTURER: requires a laptop; CRUZ DE LEON, Ana B. C.", "CRUZ DE LEON, Ana B. C.", "B%n", "", "MWF", "", "", ""),
+    ("Section: c%n | professors - REYES,  Bo | T TH 1:00 PM to 2:30 PM | RM %n", "REYES, Bo", "C%n", "", "T TH", "1:00 PM", "2:30 PM", "RM %n"),
+    ("G%n - (07:30 AM - 09:00 AM) MAY, Open faculty TBA\nLocation:  HALL   %n ; next", "TBA", "G%n", "HALL %n", "", "07:30 AM", "09:00 AM", ") MAY, Open faculty TBA Location: HALL %n ; next"),
+    ("SANTOS, Closed; OCT, Eva", "", "", "", "", "", "", ""),
+    ("nothing here", "", "", "", "", "", "", ""),
+]
+
+
+def _noted(k: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN replace('{n[k]}', '%n', l_partkey)" for i, n in enumerate(_NOTES))
+    return f"CASE l_linenumber % {len(_NOTES)} {cases} END"
+
+
+_LINES = "(SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_partkey % 90 AS VARCHAR) AS l_partkey FROM lineitem)"
+
+
+@query("X12_X14_text_patterns", f"SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'{_noted(k)} AS {n}' for k, n in enumerate(('person', 'section', 'room', 'days', 'time_start', 'time_end', 'behind'), 1))} FROM {_LINES}")
+def text_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names behind a role, by comma, as TBA, and what only looks like one; sections in three places; schedules with and without a clock."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 90).cast("string").alias("l_partkey")).distinct()
+    n = F.expr(_noted(0).replace("\n", "\\n"))
+    at = line.select("*", n.alias("note"), text.schedule(n).alias("s"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return at.select("l_orderkey", "l_linenumber", "l_partkey", text.person(F.col("note")).alias("person"), text.section(F.col("note")).alias("section"), text.room(F.col("note")).alias("room"), blank(F.col("s.days")).alias("days"), blank(F.col("s.time_start")).alias("time_start"), blank(F.col("s.time_end")).alias("time_end"), blank(F.col("s.room")).alias("behind"))
+
+
 @query("S19_export_import", f"WITH {OFFERINGS_SQL} SELECT course_code, term, section, prof_key, seq FROM offerings")
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as one JSON document per course and term, and back; another version than 2 is refused."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cohorts, ensemble, history, learn, vectors
+from ..operators.lineage import cut
 from .adapter import BACKTEST, TARGET, offerings
 from .sql import FEATURES_SQL, GUESSES_SQL, HEURISTIC_SQL, PAIRS_SQL, evidence_sql
 
@@ -297,5 +298,5 @@ def _closed(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
     _, ev, seats = _parts(spark, sf_dir, BACKTEST)
     rows = history.features(seats, ev).withColumn("label", (F.col("prof_key") == F.col("truth")).cast("int"))
     # The fit and the rows that it is applied to both read these columns: features are worked out once.
-    rows = rows.select("course_code", "target", "section", "prof_key", "section_exact", "slot_affinity", "recency", "label").cache()
+    rows = cut(rows.select("course_code", "target", "section", "prof_key", "section_exact", "slot_affinity", "recency", "label"))
     return _rounded(fit(rows, ["section_exact", "slot_affinity", "recency"], "label").select("course_code", "target", "section", "prof_key", "p"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, ingest, prediction, scalars, second_pass, shortlists, tables
+from . import documents, html, ingest, measured, options, prediction, scalars, scans, second_pass, shortlists, sources, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scalars, tables, prediction, second_pass, shortlists, ingest, documents):
+for _module in (scalars, tables, prediction, second_pass, measured, shortlists, ingest, documents, scans, sources, options, html):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
