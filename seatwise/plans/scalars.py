@@ -24,42 +24,49 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def _codes(spark: SparkSession) -> DataFrame:
-    return spark.range(1200, 1330).select(F.col("id").cast("int").alias("term"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code for each event, from all numbers between two terms; most are none."""
+    return _events(spark, sf_dir).select("event_id", (1200 + F.col("event_id") % 130).cast("int").alias("term"))
+
+
+_CODES = "(SELECT event_id, CAST(1200 + event_id % 130 AS INT) AS term FROM events)"
 
 
 _VALID = "regexp_matches(CAST(term AS VARCHAR), '^[0-9]{3}[123]$')"
 _YEAR = "((term // 10) % 10 + CASE WHEN (term // 10) % 10 >= 3 THEN 2020 ELSE 2030 END)"
 
 
-@query("C01_term_parse", f"""SELECT term, {_VALID} AS valid, CASE WHEN {_VALID} THEN CAST(term // 100 AS INT) END AS prefix, CASE WHEN {_VALID} THEN CAST((term // 10) % 10 AS INT) END AS year_digit,
+@query("C01_term_parse", f"""SELECT event_id, term, {_VALID} AS valid, CASE WHEN {_VALID} THEN CAST(term // 100 AS INT) END AS prefix, CASE WHEN {_VALID} THEN CAST((term // 10) % 10 AS INT) END AS year_digit,
 CASE WHEN {_VALID} THEN CAST(term % 10 AS INT) END AS semester, CASE WHEN {_VALID} THEN CAST({_YEAR} AS INT) END AS start_year, CASE WHEN {_VALID} THEN {_YEAR} || '-' || ({_YEAR} + 1) END AS academic_year,
-CASE WHEN {_VALID} THEN CASE term % 10 WHEN 1 THEN 'First Semester' WHEN 2 THEN 'Second Semester' ELSE 'Midyear' END END AS semester_label FROM (SELECT CAST(range AS INT) AS term FROM range(1200, 1330))""")
+CASE WHEN {_VALID} THEN CASE term % 10 WHEN 1 THEN 'First Semester' WHEN 2 THEN 'Second Semester' ELSE 'Midyear' END END AS semester_label FROM {_CODES}""")
 def term_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cal.parsed(F.col("term"))
-    return _codes(spark).select("term", cal.is_term(F.col("term")).alias("valid"), *(p[c].alias(c) for c in ("prefix", "year_digit", "semester", "start_year", "academic_year", "semester_label")))
+    return _codes(spark, sf_dir).select("event_id", "term", cal.is_term(F.col("term")).alias("valid"), *(p[c].alias(c) for c in ("prefix", "year_digit", "semester", "start_year", "academic_year", "semester_label")))
 
 
-@query("C02_term_labels", f"""SELECT term, CASE WHEN {_VALID} THEN term || ' - ' || CASE term % 10 WHEN 1 THEN 'First Semester' WHEN 2 THEN 'Second Semester' ELSE 'Midyear' END || ' (' || {_YEAR} || '-' || ({_YEAR} + 1) || ')' ELSE CAST(term AS VARCHAR) END AS label,
-CASE WHEN {_VALID} THEN term || ' ' || CASE term % 10 WHEN 3 THEN 'MY' ELSE 'S' || (term % 10) END || ' ' || ({_YEAR} % 100) || '-' || (({_YEAR} + 1) % 100) ELSE CAST(term AS VARCHAR) END AS short_label
-FROM (SELECT CAST(range AS INT) AS term FROM range(1200, 1330))""")
+@query("C02_term_labels", f"""SELECT event_id, term, CASE WHEN {_VALID} THEN term || ' - ' || CASE term % 10 WHEN 1 THEN 'First Semester' WHEN 2 THEN 'Second Semester' ELSE 'Midyear' END || ' (' || {_YEAR} || '-' || ({_YEAR} + 1) || ')' ELSE CAST(term AS VARCHAR) END AS label,
+CASE WHEN {_VALID} THEN term || ' ' || CASE term % 10 WHEN 3 THEN 'MY' ELSE 'S' || (term % 10) END || ' ' || ({_YEAR} % 100) || '-' || (({_YEAR} + 1) % 100) ELSE CAST(term AS VARCHAR) END AS short_label FROM {_CODES}""")
 def term_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark).select("term", cal.label(F.col("term")).alias("label"), cal.short_label(F.col("term")).alias("short_label"))
+    return _codes(spark, sf_dir).select("event_id", "term", cal.label(F.col("term")).alias("label"), cal.short_label(F.col("term")).alias("short_label"))
 
 
-@query("C03_term_distance", f"""SELECT a, b, CAST(CASE WHEN a % 10 BETWEEN 1 AND 3 AND b % 10 BETWEEN 1 AND 3 THEN {ORD.format('b')} - {ORD.format('a')} ELSE 0 END AS INT) AS distance
-FROM (SELECT CAST(range AS INT) AS a FROM range(1240, 1270)), (SELECT CAST(range AS INT) AS b FROM range(1250, 1280))""")
+@query("C03_term_distance", f"""SELECT event_id, a, b, CAST(CASE WHEN a % 10 BETWEEN 1 AND 3 AND b % 10 BETWEEN 1 AND 3 THEN {ORD.format('b')} - {ORD.format('a')} ELSE 0 END AS INT) AS distance
+FROM (SELECT event_id, CAST(1240 + event_id % 30 AS INT) AS a, CAST(1250 + (event_id // 30) % 30 AS INT) AS b FROM events)""")
 def term_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = spark.range(1240, 1270).select(F.col("id").cast("int").alias("a")), spark.range(1250, 1280).select(F.col("id").cast("int").alias("b"))
-    return a.crossJoin(b).select("a", "b", cal.distance(F.col("a"), F.col("b")).alias("distance"))
+    e = _events(spark, sf_dir).select("event_id", (1240 + F.col("event_id") % 30).cast("int").alias("a"), (1250 + F.floor(F.col("event_id") / 30) % 30).cast("int").alias("b"))
+    return e.select("event_id", "a", "b", cal.distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query("C04_C05_U05_history", """SELECT t AS target, CAST(h AS INT) AS term, h % 10 = t % 10 AS same_semester FROM (SELECT CAST(range AS INT) AS t FROM range(1200, 1330) WHERE range % 10 BETWEEN 1 AND 3), range(1231, 1330) r(h)
+@query("C04_C05_U05_history", """SELECT c_custkey, t AS target, CAST(h AS INT) AS term, h % 10 = t % 10 AS same_semester FROM (SELECT c_custkey, CAST(1200 + c_custkey % 130 AS INT) AS t FROM customer WHERE (1200 + c_custkey % 130) % 10 BETWEEN 1 AND 3), range(1231, 1330) r(h)
 WHERE h < t AND h % 10 BETWEEN 1 AND 3""")
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _codes(spark).withColumnRenamed("term", "target")
-    long = t.select("target", F.explode(cal.history(F.col("target"))).alias("term"), cal.same_semester_history(F.col("target")).alias("same"))
-    return long.select("target", "term", F.array_contains("same", F.col("term")).alias("same_semester"))
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (1200 + F.col("c_custkey") % 130).cast("int").alias("target"))
+    long = t.select("c_custkey", "target", F.explode(cal.history(F.col("target"))).alias("term"), cal.same_semester_history(F.col("target")).alias("same"))
+    return long.select("c_custkey", "target", "term", F.array_contains("same", F.col("term")).alias("same_semester"))
 
 
 @query("C06_F08_U03_days", """WITH d AS (SELECT l_linenumber AS n, CASE l_linenumber % 7 WHEN 0 THEN 'M W' WHEN 1 THEN 'T TH' WHEN 2 THEN 'W-F' WHEN 3 THEN 'm th' WHEN 4 THEN 'MWF' WHEN 5 THEN 'S SU' ELSE 'TTh' END AS days FROM lineitem),
@@ -90,10 +97,11 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("near_ten", F.round(F.when(F.col("minutes").isNull(), 0.0).otherwise(cal.time_similarity(F.col("minutes"), F.lit(600))), 6))
 
 
-@query("C09_decay", f"SELECT CAST(range AS INT) AS term, round(CAST(pow(0.5, abs({ORD.format('1291')} - {ORD.format('range')}) / 4.0) AS DOUBLE), 6) AS w4, round(CAST(pow(0.5, abs({ORD.format('1291')} - {ORD.format('range')}) / 8.0) AS DOUBLE), 6) AS w8 FROM range(1231, 1300) WHERE range % 10 BETWEEN 1 AND 3")
+@query("C09_decay", f"""SELECT event_id, term, round(CAST(pow(0.5, abs({ORD.format('1291')} - {ORD.format('term')}) / 4.0) AS DOUBLE), 6) AS w4, round(CAST(pow(0.5, abs({ORD.format('1291')} - {ORD.format('term')}) / 8.0) AS DOUBLE), 6) AS w8
+FROM (SELECT event_id, CAST(1231 + event_id % 69 AS INT) AS term FROM events) WHERE term % 10 BETWEEN 1 AND 3""")
 def decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.range(1231, 1300).filter("id % 10 BETWEEN 1 AND 3").select(F.col("id").cast("int").alias("term"))
-    return t.select("term", F.round(cal.decay_weight(F.col("term"), F.lit(1291)), 6).alias("w4"), F.round(cal.decay_weight(F.col("term"), F.lit(1291), 8.0), 6).alias("w8"))
+    t = _events(spark, sf_dir).select("event_id", (1231 + F.col("event_id") % 69).cast("int").alias("term")).filter("term % 10 BETWEEN 1 AND 3")
+    return t.select("event_id", "term", F.round(cal.decay_weight(F.col("term"), F.lit(1291)), 6).alias("w4"), F.round(cal.decay_weight(F.col("term"), F.lit(1291), 8.0), 6).alias("w8"))
 
 
 #: Raw names made of part names: titles, suffixes, accents, punctuation, nobody, several people.

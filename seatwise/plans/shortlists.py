@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import names
 from ..operators import ensemble, history, learn, shortlist
-from .adapter import BACKTEST, TARGET, offerings
+from .adapter import BACKTEST, OFFERINGS_SQL, TARGET, offerings
 from .prediction import BLEND, DIGITS, FEATURES, MODELS, TERM_SQL, _full, _parts, _rounded, _targets
 from .scalars import _RAW, _VALID, _YEAR
 from .sql import FEATURES_SQL, HEURISTIC_SQL, evidence_sql
@@ -140,16 +140,15 @@ WHEN 3 THEN {_WORD.format('u')} || ' ' || (y + 1) WHEN 4 THEN 'Midterm exam ' ||
 _HIT = {1: ("FIRST", "1ST"), 2: ("SECOND", "2ND"), 3: ("MIDYEAR", "MID-YEAR", "MID YEAR", "SUMMER")}
 
 
-@query("P13_term_label_match", f"""WITH t AS (SELECT term, {_YEAR} AS y FROM (SELECT CAST(range AS INT) AS term FROM range(1231, 1300)) WHERE {_VALID}),
-x AS (SELECT term AS u, form, {_TEXT} AS text FROM (SELECT term, term AS u, y, f.range AS form FROM t, range(6) f)),
-n AS (SELECT u, CAST(form AS INT) AS form, text, trim(regexp_replace(upper(text), '\\s+', ' ', 'g')) AS up FROM x)
-SELECT u, form, text, term, regexp_matches(up, '(^|[^0-9])' || term || '([^0-9]|$)') OR (
-  CASE term % 10 {" ".join(f"WHEN {s} THEN {' OR '.join(f'''contains(up, '{w}')''' for w in ws)}" for s, ws in _HIT.items())} END
+@query("P13_term_label_match", f"""WITH {OFFERINGS_SQL}, t AS (SELECT seq, term AS u, {_YEAR} AS y, CAST(seq % 6 AS INT) AS form, CAST(1231 + (seq // 6) % 69 AS INT) AS other FROM offerings),
+n AS (SELECT seq, u, form, other, text, trim(regexp_replace(upper(text), '\\s+', ' ', 'g')) AS up FROM (SELECT *, {_TEXT} AS text FROM t)),
+m AS (SELECT *, {_YEAR} AS y FROM (SELECT seq, u, form, text, up, unnest(list_distinct([u, other])) AS term FROM n) WHERE {_VALID})
+SELECT seq, u, form, text, term, regexp_matches(up, '(^|[^0-9])' || term || '([^0-9]|$)') OR (
+  CASE term % 10 {" ".join(f"WHEN {s} THEN {' OR '.join(f"contains(up, '{w}')" for w in ws)}" for s, ws in _HIT.items())} END
   AND (contains(up, CAST(y AS VARCHAR)) OR contains(up, (y % 100) || '-' || ((y + 1) % 100)) OR contains(up, (y % 100) || '' || ((y + 1) % 100)) OR (term % 10 = 3 AND contains(up, CAST(y + 1 AS VARCHAR))))) AS matched,
-  regexp_matches(up, '\\b[0-9]{{2}}[3-9][123]\\b\\s*[-–]') OR regexp_matches(up, '(FIRST|SECOND|MID|MIDYEAR|MID-YEAR)\\s*(SEMESTER|SEM|YEAR)') AS termish FROM n, t""")
+  regexp_matches(up, '\\b[0-9]{{2}}[3-9][123]\\b\\s*[-–]') OR regexp_matches(up, '(FIRST|SECOND|MID|MIDYEAR|MID-YEAR)\\s*(SEMESTER|SEM|YEAR)') AS termish FROM m""")
 def term_label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels made of each term in six forms, matched with every term."""
-    t = spark.range(1231, 1300).select(F.col("id").cast("int").alias("term")).filter(cal.is_term(F.col("term")))
-    labels = t.select(F.col("term").alias("u"), cal.start_year(F.col("term")).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("form")).select("u", "form", F.expr(_TEXT).alias("text"))
-    both = labels.crossJoin(F.broadcast(t))  # a short list of terms
-    return both.select("u", "form", "text", "term", cal.matches_term(F.col("text"), F.col("term")).alias("matched"), cal.looks_termish(F.col("text")).alias("termish"))
+    """Each seat's term as a label, in one of six forms, matched with that term and with another."""
+    seat = offerings(spark, sf_dir).select("seq", F.col("term").alias("u"), cal.start_year(F.col("term")).alias("y"), (F.col("seq") % 6).cast("int").alias("form"), (1231 + F.floor(F.col("seq") / 6) % 69).cast("int").alias("other"))
+    both = seat.select("seq", "u", "form", F.expr(_TEXT).alias("text"), F.explode(F.array_distinct(F.array("u", "other"))).alias("term")).filter(cal.is_term(F.col("term")))
+    return both.select("seq", "u", "form", "text", "term", cal.matches_term(F.col("text"), F.col("term")).alias("matched"), cal.looks_termish(F.col("text")).alias("termish"))
