@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import cohorts, ensemble, history, weighting
 from ..operators.lineage import cut
 from .adapter import BACKTEST, TARGET, offerings
-from .prediction import MODELS, PARTNER_SQL, _parts, _r, _rounded, _targets
-from .second_pass import _FLAGGED, _FULL, _PARTNER, CONFIRMED_SQL, _confirmed
-from .sql import HEURISTIC_SQL, evidence_sql
+from .prediction import MODELS, _parts, _r, _rounded, _targets
+from .second_pass import _FLAGGED, _FULL, CONFIRMED_SQL, _confirmed
+from .sql import GUESSES_SQL, HEURISTIC_SQL, PAIRS_SQL, evidence_sql
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,10 +27,31 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: The terms that weights, temperatures and hits are measured on.
+MEASURED = BACKTEST
 #: The temperatures that calibration tries, written out for the oracle.
 _GRID = "[0.15, 0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0, 4.0, 6.0]"
 _SEAT = "PARTITION BY course_code, target, section"
-_HELD_OUT = f"target IN ({', '.join(map(str, BACKTEST))})"
+_HELD_OUT = f"target IN ({', '.join(map(str, MEASURED))})"
+
+_ON = lambda a, b, *more: " AND ".join(f"{a}.{x} = {b}.{y}" for x, y in (("course_code", "course_code"), ("target", "target"), *more))
+#: Partner features by rows that aren't zero, from guesses on; the plain form over all pairs is the oracle of V13.
+_SPARSE = f"""said AS (SELECT course_code, target, section, family, prof_key, probability AS p FROM guesses WHERE probability >= 0.05),
+conds AS (SELECT course_code, target, section, prof_key, sum(v) AS cond FROM (
+  SELECT a.course_code, a.target, a.section, a.prof_key, p * p_seat AS v FROM said JOIN seat_seat a ON {_ON('a', 'said', ('g_section', 'section'), ('g_prof', 'prof_key'))}
+  UNION ALL SELECT s.course_code, s.target, s.section, s.prof_key, p * p_family FROM said JOIN fam_fam f ON {_ON('f', 'said', ('g_family', 'family'), ('g_prof', 'prof_key'))}
+    JOIN scored s ON {_ON('s', 'f', ('family', 'family'), ('prof_key', 'prof_key'))} AND s.section <> said.section
+    LEFT JOIN seat_seat a ON {_ON('a', 's', ('section', 'section'), ('prof_key', 'prof_key'))} AND a.g_section = said.section AND a.g_prof = said.prof_key WHERE a.p_seat IS NULL) GROUP BY ALL),
+both_ways AS (SELECT course_code, target, a AS prof_key, b AS g_prof, together FROM pairs UNION ALL SELECT course_code, target, b, a, together FROM pairs),
+paired AS (SELECT s.course_code, s.target, s.section, s.prof_key, sum(p * least(1, together / least(x.active, y.active))) AS pair FROM said JOIN both_ways w ON {_ON('w', 'said', ('g_prof', 'prof_key'))}
+  JOIN active x ON {_ON('x', 'w', ('prof_key', 'prof_key'))} JOIN active y ON {_ON('y', 'w', ('prof_key', 'g_prof'))} JOIN scored s ON {_ON('s', 'w', ('prof_key', 'prof_key'))} AND s.section <> said.section GROUP BY ALL),
+same AS (SELECT s.course_code, s.target, s.section, s.prof_key, sum(p) AS ps, count(*) AS ns, sum(p * coalesce(p_bundle, 0)) AS bun FROM scored s JOIN said ON {_ON('s', 'said', ('prof_key', 'prof_key'))} AND s.section <> said.section
+  LEFT JOIN bundle b ON {_ON('b', 's', ('prof_key', 'prof_key'), ('family', 'family'))} AND b.g_family = said.family GROUP BY ALL),
+here AS (SELECT course_code, target, section, sum(p) AS ph, count(*) AS nh FROM said GROUP BY ALL), every AS (SELECT course_code, target, sum(p) AS pa, count(*) AS na FROM said GROUP BY ALL),
+partner AS (SELECT course_code, target, section, prof_key, CASE WHEN na > coalesce(nh, 0) THEN coalesce(cond, 0) / (pa - coalesce(ph, 0)) ELSE 0 END AS partner_cond,
+  CASE WHEN na > coalesce(nh, 0) + coalesce(ns, 0) THEN coalesce(pair, 0) / (pa - coalesce(ph, 0) - coalesce(ps, 0)) ELSE 0 END AS partner_pair, CASE WHEN ns > 0 THEN bun / ps ELSE 0 END AS bundle_fit
+  FROM scored JOIN every USING (course_code, target) LEFT JOIN here USING (course_code, target, section) LEFT JOIN conds USING (course_code, target, section, prof_key) LEFT JOIN paired USING (course_code, target, section, prof_key) LEFT JOIN same USING (course_code, target, section, prof_key))"""
+SPARSE_SQL = f"{GUESSES_SQL}, {PAIRS_SQL}, {_SPARSE}"
 
 LONG_SQL = f"""long AS (
   SELECT course_code, target, section, family, prof_key, cand_seq, truth, unnest([{", ".join(f"'{m}'" for m in MODELS)}]) AS model, unnest([{", ".join(f"CAST({m} AS DOUBLE)" for m in MODELS)}]) AS value FROM full1
@@ -65,10 +86,10 @@ PLACED_SQL = f"""placed AS (
   SELECT *, row_number() OVER ({_SEAT} ORDER BY round(prob, 9) DESC, cand_seq, prof_key) AS place FROM (
     SELECT *, e / sum(e) OVER ({_SEAT}) * (1 - novelty) AS prob FROM (SELECT v.*, exp((score - max(score) OVER ({_SEAT})) / coalesce(temperature, 1)) AS e FROM voted v LEFT JOIN warmth USING (course_code)) JOIN novelty USING (course_code, target))
 )"""
-BASE_SQL = f"WITH {evidence_sql((*BACKTEST, TARGET))}, {CONFIRMED_SQL}, {_FLAGGED}, {HEURISTIC_SQL}, {PARTNER_SQL}, {_FULL}, {LONG_SQL}, {WEIGHTS_SQL}"
+BASE_SQL = f"WITH {evidence_sql((*MEASURED, TARGET))}, {CONFIRMED_SQL}, {_FLAGGED}, {HEURISTIC_SQL}, {SPARSE_SQL}, {_FULL}, {LONG_SQL}, {WEIGHTS_SQL}"
 FIT_SQL = f"{BASE_SQL}, {VOTED_SQL}, {WARMTH_SQL}, {PLACED_SQL}, top AS (SELECT course_code, avg(hit) AS top1 FROM (SELECT course_code, target, section, max(CASE WHEN place = 1 AND prof_key = truth THEN 1.0 ELSE 0.0 END) AS hit FROM placed WHERE {_HELD_OUT} GROUP BY ALL) GROUP BY course_code)"
 
-_AGAIN = {"guesses": "refreshed", "pairing2": "pairing3"} | {n: f"{n}_again" for n in ("partner", "full0", "full1", "long", "listed", "mixed", "voted", "placed")}
+_AGAIN = {"guesses": "refreshed"} | {n: f"{n}_again" for n in ("said", "conds", "both_ways", "paired", "same", "here", "every", "partner", "full0", "full1", "long", "listed", "mixed", "voted", "placed")}
 
 
 def _again(sql: str) -> str:
@@ -80,7 +101,7 @@ def _again(sql: str) -> str:
     return out
 
 
-AGAIN_SQL = f"""{FIT_SQL}, refreshed AS (SELECT course_code, target, section, family, prof_key, cand_seq, prob AS probability FROM placed WHERE place <= 5 AND target = {TARGET}), {_again(f"{_PARTNER}, {_FULL}, {LONG_SQL}, {VOTED_SQL}, {PLACED_SQL}")}"""
+AGAIN_SQL = f"""{FIT_SQL}, refreshed AS (SELECT course_code, target, section, family, prof_key, cand_seq, prob AS probability FROM placed WHERE place <= 5 AND target = {TARGET}), {_again(f"{_SPARSE}, {_FULL}, {LONG_SQL}, {VOTED_SQL}, {PLACED_SQL}")}"""
 _FIRST = f"""(SELECT course_code, target, section, max(CASE WHEN place = 1 THEN prof_key END) AS prof_key, max(CASE WHEN place = 1 THEN prob END) AS p1, coalesce(max(CASE WHEN place = 2 THEN prob END), 0) AS p2, max(CASE WHEN place = 1 THEN agree END) AS agree
   FROM placed_again WHERE target = {TARGET} GROUP BY ALL)"""
 SURE_SQL = f"sure AS (SELECT course_code, target, section, prof_key, round(greatest(0.05, least(0.99, 0.42 * p1 + 0.32 * agree + 0.16 * greatest(0, p1 - p2) + 0.1 * coalesce(top1, 0))) * 100, 1) AS confidence FROM {_FIRST} LEFT JOIN top USING (course_code))"
@@ -90,8 +111,8 @@ class Fit:
     """What the backtest gives for every course: weights, temperatures, and the share of first places."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.rows, self.evidence, seats = _parts(spark, sf_dir, (*BACKTEST, TARGET))
-        self.novelty, self.confirmed = history.novelty_rate(self.rows, _targets(spark, (*BACKTEST, TARGET))), _confirmed(self.rows)
+        self.rows, self.evidence, seats = _parts(spark, sf_dir, (*MEASURED, TARGET))
+        self.novelty, self.confirmed = history.novelty_rate(self.rows, _targets(spark, (*MEASURED, TARGET))), _confirmed(self.rows)
         self.alone = cut(history.heuristic(history.features(seats, self.evidence, verified=self.confirmed)))
         self.listed = cut(self.models(self.alone, ensemble.first_guesses(self.alone)))
         held_out = F.col("target") != TARGET

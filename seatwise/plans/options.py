@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import cohorts, ensemble, history, weighting
 from ..operators.lineage import cut
-from .adapter import OFFERINGS_SQL, TARGET, offerings
-from .measured import LONG_SQL
-from .prediction import MODELS, PARTNER_SQL, _r, _rounded, _targets
+from .adapter import BACKTEST, OFFERINGS_SQL, TARGET, offerings
+from .measured import LONG_SQL, SPARSE_SQL
+from .prediction import MODELS, _r, _rounded, _targets
 from .second_pass import _FULL
 from .sql import FEATURES_SQL, HEURISTIC_SQL, evidence_sql
 
 QUERIES, ORACLES = {}, {}
-#: The terms that weights are measured on; the grid is judged on TARGET.
-MEASURED = (1282, 1283)
-#: trial, half-life, cross-seat prior, and how models vote: mix, depth, pad.
+#: The terms that weights are measured on.
+MEASURED = BACKTEST[-2:]
+#: trial, half-life, cross-seat prior, and how models vote: mix, depth, pad. They are judged on TARGET, with weights from the terms before.
 TRIALS = [
     (1, 4, 5.0, 0.4, 5, 1), (2, 6, 5.0, 0.4, 5, 1), (3, 8, 5.0, 0.4, 5, 1), (4, 3, 5.0, 0.4, 5, 1), (5, 4, 2.0, 0.4, 5, 1), (6, 4, 9.0, 0.4, 5, 1),
     (7, 4, 5.0, 0.6, 5, 1), (8, 4, 5.0, 0.0, 5, 1), (9, 4, 5.0, 0.4, 8, 2), (10, 8, 2.0, 0.4, 5, 1), (11, 6, 9.0, 0.6, 5, 1), (12, 8, 9.0, 0.0, 5, 1),
@@ -47,7 +47,7 @@ _HELD_OUT = f"target IN ({', '.join(map(str, MEASURED))})"
 _WHO = "PARTITION BY trial, course_code, section"
 
 
-@query("Q09_J15_Q03_A18_options", f"""WITH {_WORLDS}, {_FEATURES}, {HEURISTIC_SQL}, {PARTNER_SQL}, {_FULL}, {LONG_SQL},
+@query("Q09_J15_Q03_A18_options", f"""WITH {_WORLDS}, {_FEATURES}, {HEURISTIC_SQL}, {SPARSE_SQL}, {_FULL}, {LONG_SQL},
 trials(trial, half_life, prior, mix, depth, pad) AS (VALUES {", ".join(str(t) for t in TRIALS)}),
 accuracy AS (
   SELECT course_code, model, (coalesce(hits, 0) / n) ** 2 AS a2 FROM (SELECT course_code, count(*) AS n FROM seats WHERE {_HELD_OUT} GROUP BY course_code) CROSS JOIN (SELECT DISTINCT model FROM long)
