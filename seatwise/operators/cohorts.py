@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sections import section_family
 from .history import KEY
+from .lineage import cut
 
 #: Guesses below this share are ignored.
 LEAST_GUESS = 0.05
@@ -61,7 +62,8 @@ def partner_features(scored: DataFrame, guesses: DataFrame, ev: DataFrame) -> Da
     Candidates and guesses are never paired: guesses are joined to what was seen together, so only what isn't zero is a row. A seat's
     sums are those over all guesses less those about the seat itself; whether any guess is left is told by whole numbers.
     """
-    g = guesses.filter(F.col("probability") >= LEAST_GUESS).select(*KEY, F.col("section").alias("g_section"), F.col("family").alias("g_family"), F.col("prof_key").alias("g_prof"), F.col("probability").alias("p"))
+    ev = cut(_rows(ev))  # several sums read both: worked out once
+    g = cut(guesses.filter(F.col("probability") >= LEAST_GUESS).select(*KEY, F.col("section").alias("g_section"), F.col("family").alias("g_family"), F.col("prof_key").alias("g_prof"), F.col("probability").alias("p")))
     ours = ["p_same", "n_same", "seat", "seat_family", "own_family", "own_pair", "own_bundle"]
 
     def rows(df: DataFrame, section: str, **given) -> DataFrame:
