@@ -22,8 +22,9 @@ BLOCK_TEXT = 4 << 20
 HEAD = 2048
 #: Clusters of words: the language that most of a word's learned texts have; the last one is of all rarer languages.
 CLUSTERS = 16
-#: Bits of a symbol predictor's table, and of a byte predictor's. The symbols are bounded, and so is what is worth a slot.
-SYMBOL_BITS, BYTE_BITS = 20, 19
+#: Bits of a symbol predictor's table, and of a byte predictor's; the table of two symbols has a slot for each learned
+#: token, from the first number of bits up to PAIR_BITS.
+SYMBOL_BITS, BYTE_BITS, PAIR_BITS = 20, 19, 20
 #: A table is summed up in parts of so many slots, at most so many tasks' shares at a time.
 PART_BITS, FAN_IN = 17, 64
 #: Weight of the order-0 probability in each symbol predictor's estimate; added to both counts of a byte slot.
@@ -33,7 +34,9 @@ PRIOR, BYTE_PRIOR = 2.0, 1.0
 START = (-0.1, 0.35, 0.3, 0.2, 0.25)
 GATES, TRUST = (1, 4, 32), (0.5, 0.8, 1.0, 1.2)
 #: Tokens after which a text's own weights are refined, the step, and the most tokens whose bits are held at a time.
-SEGMENT, STEP, SLAB = 16, 0.05, 1 << 17
+SEGMENT, STEP, SLAB = 16, 0.05, 1 << 16
+#: Contexts whose bits are counted, and words that are spelled, at a time.
+COUNTED, SPELLED = 1 << 16, 1 << 14
 #: Bytes of its word before a byte that each byte predictor sees.
 ORDERS = (2, 3, 4)
 _END_HASH = np.uint64(0x51E7C0DE51E7C0DE)
@@ -111,15 +114,26 @@ def _places(ends: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
 
 
-def _count(tables: list[np.ndarray], contexts: list[np.ndarray], symbol: np.ndarray, code: Code, salts: np.ndarray, bits: int) -> None:
+def _bits(slots: int) -> int:
+    return slots.bit_length() - 1
+
+
+def table_bits(tokens: int) -> list[int]:
+    """Bits of each symbol predictor's table by the number of learned tokens: the pairs of symbols grow with the corpus."""
+    return [SYMBOL_BITS, min(max(SYMBOL_BITS, tokens.bit_length()), PAIR_BITS), SYMBOL_BITS, SYMBOL_BITS]
+
+
+def _count(tables: list[np.ndarray], contexts: list[np.ndarray], symbol: np.ndarray, code: Code, salts: np.ndarray) -> None:
     """Adds the bits of each symbol to the slots of its contexts, whose low 16 bits are 0."""
     for table, context in zip(tables, contexts, strict=True):
         seen = np.sort(context | symbol.astype(np.uint64))  # a context with the same symbol behind it is counted once
         first = runs(seen)
         seen, n = seen[first], np.diff(first, append=len(seen)).astype(np.uint32)
-        owner, at, _ = expand(code, (seen & np.uint64(0xFFFF)).astype(np.int64))
-        slot = _slots(seen & ~np.uint64(0xFFFF), owner, salts[code.node[at]], bits)
-        np.add.at(table, slot * 2 + code.bit[at], n[owner])
+        for lo in range(0, len(seen), COUNTED):
+            some, times = seen[lo : lo + COUNTED], n[lo : lo + COUNTED]
+            owner, at, _ = expand(code, (some & np.uint64(0xFFFF)).astype(np.int64))
+            slot = _slots(some & ~np.uint64(0xFFFF), owner, salts[code.node[at]], _bits(len(table) // 2))
+            np.add.at(table, slot * 2 + code.bit[at], times[owner])
 
 
 # Spelling: the bytes of words that aren't known.
@@ -157,7 +171,7 @@ def spelling_bits(stream: np.ndarray, ends: np.ndarray, cluster: np.ndarray, tab
     salt, sign = _salts(256)[code.node[at]], (2 * code.bit[at] - 1).astype(np.float32)
     p, total = np.full(len(at), 0.5, np.float32), np.zeros(len(at), np.float32)
     for context, table in zip(byte_contexts(stream, ends, cluster), tables, strict=True):
-        zeros, ones = counts_of(table[_slots(context, owner, salt, BYTE_BITS)])
+        zeros, ones = counts_of(table[_slots(context, owner, salt, _bits(len(table)))])
         p = (ones + BYTE_PRIOR * p) / (zeros + ones + BYTE_PRIOR)
         p = np.clip(p, 1e-6, 1 - 1e-6)
         total += np.log(p / (1 - p)) / len(tables)
@@ -276,7 +290,7 @@ def symbol_bits(model: Symbols, symbol: np.ndarray, ends: np.ndarray, tables: li
         sign, salt, prior = (2 * code.bit[at] - 1).astype(np.float32), salts[node], even[node]
         inputs, gate = [stretch[node]], np.zeros(len(node), np.int64)
         for k, (context, table) in enumerate(zip(contexts, tables, strict=True)):
-            zeros, ones = counts_of(table[_slots(context[part], owner, salt, SYMBOL_BITS)])
+            zeros, ones = counts_of(table[_slots(context[part], owner, salt, _bits(len(table)))])
             if k < 2:
                 n = ones + zeros
                 gate = gate * (len(GATES) + 1) + sum((n >= g).astype(np.int8) for g in GATES)
@@ -433,12 +447,12 @@ def _read(packed: list[bytes]) -> tuple[Block, np.ndarray, np.ndarray, np.ndarra
     return Block(token, tokens, size, np.empty(0, np.uint64), spelling, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), count, cluster.astype(np.int64), head.astype(np.int64), lead > 0
 
 
-def _learn(model):
+def _learn(model, bits: list[int]):
     """Each task's tables, in parts: how often each slot's bit was 0 and 1."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Symbols.read(model.value)
-        tables = [np.zeros(2 << SYMBOL_BITS, np.uint32) for _ in range(len(START) - 1)]
+        tables = [np.zeros(2 << b, np.uint32) for b in bits]
         spelling = [np.zeros(2 << BYTE_BITS, np.uint32) for _ in ORDERS]
         salts = _salts(len(known.code.mass))
         for batch in batches:
@@ -448,11 +462,11 @@ def _learn(model):
                 ends = np.concatenate([[0], np.cumsum(block.tokens[taught])])
                 if ends[-1]:
                     symbol = known.of(count - 1, cluster, head)[block.token[np.repeat(taught, block.tokens)]]
-                    _count(tables, symbol_contexts(known, symbol, ends), symbol, known.code, salts, SYMBOL_BITS)
+                    _count(tables, symbol_contexts(known, symbol, ends), symbol, known.code, salts)
                 words = np.flatnonzero(lead & (count > 0) & (np.diff(block.spelled) > 1))
-                for at in range(0, len(words), 1 << 16):
-                    stream, ends = _subset(block, words[at : at + (1 << 16)])
-                    _count(spelling, byte_contexts(stream, ends, cluster[words[at : at + (1 << 16)]]), stream, byte_code(), _salts(256), BYTE_BITS)
+                for at in range(0, len(words), SPELLED):
+                    stream, ends = _subset(block, words[at : at + SPELLED])
+                    _count(spelling, byte_contexts(stream, ends, cluster[words[at : at + SPELLED]]), stream, byte_code(), _salts(256))
                 trim()
         step, part = 2 << PART_BITS, 0
         for table in (*tables, *spelling):
@@ -501,10 +515,10 @@ def _score(model, tables):
                 new = np.flatnonzero(count[token] == 0)
                 pair, back = np.unique(token[new] * (CLUSTERS + 1) + usual_cluster(known, symbol, ends)[new], return_inverse=True)
                 cost = np.empty(len(pair))
-                for at in range(0, len(pair), 1 << 16):
-                    some = pair[at : at + (1 << 16)]
+                for at in range(0, len(pair), SPELLED):
+                    some = pair[at : at + SPELLED]
                     stream, spelled_ends = _subset(block, some // (CLUSTERS + 1))
-                    cost[at : at + (1 << 16)] = spelling_bits(stream, spelled_ends, some % (CLUSTERS + 1), of_bytes)
+                    cost[at : at + SPELLED] = spelling_bits(stream, spelled_ends, some % (CLUSTERS + 1), of_bytes)
                 score += np.bincount(own[new], weights=cost[back], minlength=texts)
                 base = np.bincount(own, weights=np.log10(count + 0.5)[token], minlength=texts)
                 seen = np.bincount(own, weights=(count > 0)[token], minlength=texts).astype(np.int64)
@@ -544,9 +558,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Passes: each task counts the distinct words of its blocks of texts; Spark adds them up by hash (64 bits, taken for the
     word) and returns to each block the counts of its own words, a row each, so what is gathered and moved grows with the
     corpus and no faster. Then each block teaches the predictors' tables, and each is scored. Of the corpus only the head,
-    sums by count and language, and the tables are broadcast: HEAD words, (1 << SYMBOL_BITS) and (1 << BYTE_BITS) slots a
-    predictor. There are as few slots because there are few symbols, whatever the size of the corpus; all words beyond the
-    head have their exact counts.
+    sums by count and language, and the tables are broadcast: HEAD words, (1 << BYTE_BITS) slots a byte predictor and
+    (1 << SYMBOL_BITS) slots a symbol predictor, but for pairs of symbols a slot for each learned token up to
+    (1 << PAIR_BITS). Slots have no check bits, so rare contexts share them: beyond some 8 M tokens the pairs' table fills
+    up, and what still grows then is the words: all have their exact counts.
     """
     spark = docs.sparkSession
     kind, id_type = docs.schema[id_col].dataType.simpleString(), _arrow(docs.select(id_col))
@@ -572,6 +587,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size, vocabulary = distinct.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     tail = distinct.join(F.broadcast(numbers), "hash", "left_anti").groupBy(_band(F.col("count")).alias("own"), _band(F.col("count") - 1).alias("less"), "cluster")
     tail = [tuple(r) for r in tail.agg(F.sum("count")).collect()]  # 128 by CLUSTERS rows at most
+    bits = table_bits(int(size))
     known = symbols([(r["count"], r["cluster"]) for r in ranked], tail)
     model = spark.sparkContext.broadcast((*known[:2], tuple(known.code), *known[3:]))  # without classes, which a worker may not find
     counted = words.join(F.broadcast(numbers), "hash", "left").select("block", "place", "known", F.coalesce("head", F.lit(-1)).alias("head"))
@@ -582,12 +598,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     assembled = cut(whole.join(of_blocks, "block").select("ids", "learned", F.concat("packed", "known").alias("packed")), "blocks")
     del whole
     drop(spark, gathered, of_blocks)
-    parts = cut(assembled.mapInArrow(_learn(model), "part int, task bigint, counts binary"), "tables")
+    parts = cut(assembled.mapInArrow(_learn(model, bits), "part int, task bigint, counts binary"), "tables")
     tasks = 1
     while tasks:  # FAN_IN tasks' shares at a time
         parts = cut(parts.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("to")).applyInArrow(_summed, "part int, task bigint, counts binary"), "tables")
         tasks = parts.agg(F.coalesce(F.max("task"), F.lit(0))).first()[0]
-    tables = spark.sparkContext.broadcast(_tables(parts))
+    tables = spark.sparkContext.broadcast(_tables(parts, bits))
     scored = assembled.mapInArrow(_score(model, tables), f"id {kind}, learned boolean, n_tokens bigint, n_known bigint, base double, score double, n_bytes bigint")
     base = F.col("base") - F.col("n_tokens") * math.log10(size + 0.5 * (vocabulary + 1))
     per_byte = -F.col("score") / math.log10(2) / F.col("n_bytes")
@@ -599,9 +615,9 @@ def _band(count):
     return F.when(count > 0, F.length(F.bin(count))).otherwise(0)
 
 
-def _tables(parts: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The predictors' tables: of symbols, and of bytes. Their size is fixed, so the driver's share is bounded."""
-    sizes = [1 << SYMBOL_BITS] * (len(START) - 1) + [1 << BYTE_BITS] * len(ORDERS)
+def _tables(parts: DataFrame, bits: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The predictors' tables: of symbols, and of bytes. Their size has a fixed bound, so the driver's share is bounded."""
+    sizes = [1 << b for b in bits] + [1 << BYTE_BITS] * len(ORDERS)
     flat = np.zeros(sum(sizes), np.uint32)
     for part, raw in parts.select("part", "counts").toLocalIterator():
         flat[part << PART_BITS : (part + 1) << PART_BITS] = _slot_counts(_unpacked(raw, np.uint32))
