@@ -24,7 +24,7 @@ HEAD = 2048
 CLUSTERS = 16
 #: Bits of a symbol predictor's table, and of a byte predictor's; the table of two symbols has a slot for each learned
 #: token, from the first number of bits up to PAIR_BITS.
-SYMBOL_BITS, BYTE_BITS, PAIR_BITS = 20, 19, 20
+SYMBOL_BITS, BYTE_BITS, PAIR_BITS = 20, 19, 23
 #: A table is summed up in parts of so many slots, at most so many tasks' shares at a time.
 PART_BITS, FAN_IN = 17, 64
 #: Weight of the order-0 probability in each symbol predictor's estimate; added to both counts of a byte slot.
