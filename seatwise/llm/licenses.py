@@ -69,7 +69,7 @@ class Templates:
         self.sizes, self.names, self.grams = [x[0] for x in listed], [x[1] for x in listed], [x[3] for x in listed]
         self.threshold = threshold
         self.least = threshold / (2 - threshold)  # 2 min(a, b) / (a + b) >= threshold
-        # No unit is worth normalising whose words are fewer or more than any template allows.
+        # No unit matches that has fewer bigrams than any template allows, nor one with fewer characters than such bigrams have words.
         self.fewest = int(self.sizes[0] * self.least) if listed else 1
 
     def matches(self, unit: frozenset) -> Iterator[tuple[str, float]]:
@@ -98,7 +98,7 @@ def scan_text(text: str, templates: Templates) -> list[tuple[str, float, int, in
     most = templates.sizes[-1] / templates.least if templates.sizes else 0
     best: dict[str, tuple[float, int, int]] = {}
     for first, last, unit in units(text):
-        if unit.count(" ") + last - first < templates.fewest:
+        if len(unit) <= templates.fewest:
             continue
         own = bigrams(unit)
         if not templates.fewest <= len(own) <= most:
