@@ -16,8 +16,6 @@ from .common import cut
 
 #: Words of a gram (shorter repeats never count), and words of a window (repeats from here on are always found).
 GRAM_WORDS, WINDOW_WORDS = 25, 50
-#: Lines by which one fingerprint is extended each way at most; runs of WINDOW_WORDS words are found whole by their windows.
-REACH = 32
 
 
 def lines_of(text: str) -> tuple[list[int], list[int], list[int]]:
@@ -136,7 +134,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each chosen gram is joined with its first occurrence only (smallest id, then mark, then place), so there is a row for
     each occurrence and not for each pair. Line hashes around both are then compared outwards, and the run of equal lines
-    is removed at the later place. Every window that has an earlier occurrence, found the same way, is removed whole; so of a
+    is removed at the later place. `window` lines each way reach the end of every run of fewer than `window` words; longer ones
+    are found by their windows. Every window that has an earlier occurrence, found the same way, is removed whole; so of a
     repeat of `window` words no line is left, wherever its parts stood before. Every removed line is thus still somewhere
     earlier.
     """
@@ -151,8 +150,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = found.join(firsts, "gram").filter(~here.eqNullSafe(F.col("first"))).select("id", "mark", "place", "n_lines", "first").distinct()
     source = scanned.select(F.col("id").alias("first_id"), F.col("mark").alias("first_mark"), F.col("hashes").alias("other")).dropDuplicates(["first_id", "first_mark"])
     later = later.join(source, F.col("first.id").eqNullSafe(F.col("first_id")) & (F.col("first.mark") == F.col("first_mark")))
-    back = F.least(F.lit(REACH), F.col("place"), F.col("first.place"))
-    ahead = F.least(F.lit(REACH), F.col("n_lines") - F.col("place"), F.size("other") - F.col("first.place"))
+    back = F.least(F.lit(window), F.col("place"), F.col("first.place"))
+    ahead = F.least(F.lit(window), F.col("n_lines") - F.col("place"), F.size("other") - F.col("first.place"))
     match = F.struct("place", (F.col("place") - back).alias("start"), F.lit(0).alias("size"), F.slice("other", F.col("first.place") - back + 1, back + ahead).alias("other"))
     whole = scanned.select("id", "mark", F.explode(F.arrays_zip("starts", "sizes", "windows")).alias("w")).select("id", "mark", F.col("w.starts").alias("place"), F.col("w.sizes").alias("size"), F.col("w.windows").alias("window"))
     earliest = cut(whole.groupBy("window").agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "earliest")
