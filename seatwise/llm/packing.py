@@ -163,12 +163,11 @@ def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -
     """Configurations and how many sequences use each, which together hold every piece exactly once.
 
     Pieces of full length are sequences of their own. The LP's solution for the others is rounded: each configuration,
-    those with the most sequences first, is used as often as the LP says, rounded down, and as pieces are left. What is
-    then left, about a sequence for each configuration and what the LP has covered least, is packed best-fit. The
+    those with the most sequences first, is used as often as the LP says, rounded down, and as pieces are left; then once
+    more, those with the largest rest first, if all its pieces are left. What the LP has covered least is packed best-fit. The
     histogram has capacity + 1 entries, however many pieces there are, and a knapsack is solved once a round.
     """
     left = histogram.astype(np.int64).copy()
-    lengths = np.arange(len(left))
     out = []
 
     def take(used: np.ndarray, times: int) -> None:
@@ -182,9 +181,13 @@ def configurations(histogram: np.ndarray, capacity: int, rounds: int = ROUNDS) -
         full = np.zeros(len(left), np.int64)
         full[capacity] = 1
         take(full, int(left[capacity]))
-    if (lengths * left).sum() > capacity * rounds:  # else each share is less than a sequence, and all would be rounded away
-        for used, times in sorted(solve(left, capacity, rounds), key=lambda x: -x[1]):
+    if left.any():
+        solved = solve(left, capacity, rounds)
+        for used, times in sorted(solved, key=lambda x: -x[1]):
             take(used, int(times))
+        for used, times in sorted(solved, key=lambda x: -(x[1] % 1)):
+            if times % 1:
+                take(used, 1)
     return out + best_fit(left, capacity)
 
 
