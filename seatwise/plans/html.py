@@ -29,7 +29,7 @@ def class_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """course_code, term, page_id, html of each course and term, and of the given pages (without a course).
 
     By term modulo 3: columns Code, Section, Instructor, Schedule; the same in another order, with a room; Code, Class Details, Action. Every
-    third row is of a course whose code begins with the wanted one's.
+    third row is of a course whose code begins with the wanted one's. Rows stand by seq, those of one seq by section.
     """
     code = F.when(F.col("seq") % 3 == 0, F.concat("course_code", F.lit("0"))).otherwise(F.col("course_code"))
     td = lambda *cells: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells), F.lit("</tr>"))
@@ -38,7 +38,7 @@ def class_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = F.concat("section", F.lit(" - (07:00AM - 08:30AM)<br>Faculty: "), name, F.lit("<br>Location: HALL "), (F.col("seq") % 5).cast("string"))
     row = F.when(F.col("term") % 3 == 0, td(code, F.col("section"), name, when)).when(F.col("term") % 3 == 1, td(F.lit("RM &amp; 1"), name, F.concat(F.lit("Section "), "section"), when, code)).otherwise(td(code, details, F.lit("ADD")))
     head = F.when(F.col("term") % 3 == 0, th("Code", "Section", "Instructor", "Schedule")).when(F.col("term") % 3 == 1, th("Room", "Faculty", "Section", "Schedule", "Course code")).otherwise(th("Code", "Class Details", "Action"))
-    made = offerings(spark, sf_dir).groupBy("course_code", "term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
+    made = offerings(spark, sf_dir).groupBy("course_code", "term").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "section", row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
     html = F.concat(F.lit(_NAV.split("{0}")[0]), "course_code", F.lit(_NAV.split("{0}")[1]), head, "rows", F.lit("<tr><td>No data available</td></tr></table>"))
     given = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit(None).cast("string").alias("course_code"), F.lit(None).cast("int").alias("term"), "page_id", "html")
     return made.select("course_code", "term", F.lit(None).cast("bigint").alias("page_id"), html.alias("html")).unionByName(given)
