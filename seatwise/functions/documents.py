@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as free_text
+from .binding import let
 from .names import is_tba, normalize
 
 #: The keys, in any case, under which documents hold what is looked for.
@@ -38,11 +39,6 @@ _ENTRY = "array<struct<key: string, text: string, kind: string, path: string, de
 _NODE = "array<struct<text: string, kind: string, path: string>>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _kind(variant: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID."""
     return F.regexp_extract(F.schema_of_variant(variant), "^[A-Z]+", 0)

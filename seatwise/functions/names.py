@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .binding import let
+
 #: Tokens that carry no identity, suffixes, and particles that stay with the surname.
 TITLES = ["DR", "DRA", "PROF", "PROFESSOR", "ASSOC", "ASSOCIATE", "ASST", "ASSISTANT", "ENGR", "ATTY", "ARCH", "MR", "MRS", "MS", "SIR", "MAAM", "MA'AM", "INSTR", "INSTRUCTOR", "LECTURER", "PHD", "MD", "DVM", "CPA", "RN", "MSC", "MS."]
 SUFFIXES = ["JR", "SR", "II", "III", "IV", "V", "VI"]
@@ -42,31 +44,34 @@ def tokens(text: Column) -> Column:
 
 def parse(name: Column) -> Column:
     """Struct surname (array), given (array). With a comma the surname stands first; else it is the last word, and the particles before it."""
-    text = F.trim(F.coalesce(name, F.lit("")))
+    return let(F.trim(F.coalesce(name, F.lit(""))), _parsed)
+
+
+def _parsed(text: Column) -> Column:
     left, right = tokens(F.substring_index(text, ",", 1)), tokens(F.regexp_replace(F.regexp_replace(text, r"^[^,]*,", ""), ",", " "))
-    every = tokens(text)
-    n = F.size(every)
     known = F.array(*(F.lit(x) for x in PARTICLES))
-    # Of the words before the last: the ones after the last non-particle belong to the surname.
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & ~F.array_contains(known, F.element_at(every, i)))
-    cut = F.when(n <= 1, 0).otherwise(F.coalesce(F.array_max(places), F.lit(0)))
-    plain = F.struct(F.slice(every, cut + 1, F.greatest(n - cut, F.lit(0))).alias("surname"), F.when(n <= 1, F.array().cast("array<string>")).otherwise(F.slice(every, F.lit(1), cut)).alias("given"))
-    return F.when(F.contains(text, F.lit(",")), F.struct(left.alias("surname"), right.alias("given"))).otherwise(plain)
+
+    def plain(every: Column) -> Column:
+        n = F.size(every)
+        # Of the words before the last: the ones after the last non-particle belong to the surname.
+        places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & ~F.array_contains(known, F.element_at(every, i)))
+        cut = F.when(n <= 1, 0).otherwise(F.coalesce(F.array_max(places), F.lit(0)))
+        return let(cut, lambda c: F.struct(F.slice(every, c + 1, F.greatest(n - c, F.lit(0))).alias("surname"), F.when(n <= 1, F.array().cast("array<string>")).otherwise(F.slice(every, F.lit(1), c)).alias("given")))
+
+    return F.when(F.contains(text, F.lit(",")), F.struct(left.alias("surname"), right.alias("given"))).otherwise(let(tokens(text), plain))
 
 
 def canonical_key(name: Column) -> Column:
     """SURNAME, or SURNAME|I with the first given initial; the normalised text where there is no surname."""
-    p = parse(name)
-    surname = F.array_join(p["surname"], " ")
-    initial = F.substring(F.coalesce(F.try_element_at(p["given"], F.lit(1)), F.lit("")), 1, 1)
-    return F.when(surname == "", normalize(name)).when(initial == "", surname).otherwise(F.concat_ws("|", surname, initial))
+    initial = lambda p: F.substring(F.coalesce(F.try_element_at(p["given"], F.lit(1)), F.lit("")), 1, 1)
+    key = lambda k: F.when(k["surname"] == "", normalize(name)).when(k["initial"] == "", k["surname"]).otherwise(F.concat_ws("|", k["surname"], k["initial"]))
+    return let(parse(name), lambda p: let(F.struct(F.array_join(p["surname"], " ").alias("surname"), initial(p).alias("initial")), key))
 
 
 def display_name(name: Column) -> Column:
-    p = parse(name)
-    surname = F.array_join(p["surname"], " ")
-    given = F.array_join(F.transform(p["given"], lambda t: F.when(F.length(t) == 1, F.concat(t, F.lit("."))).otherwise(t)), " ")
-    return F.when(surname == "", F.trim(F.coalesce(name, F.lit("")))).when(given == "", surname).otherwise(F.concat_ws(", ", surname, given))
+    given = lambda p: F.array_join(F.transform(p["given"], lambda t: F.when(F.length(t) == 1, F.concat(t, F.lit("."))).otherwise(t)), " ")
+    shown = lambda k: F.when(k["surname"] == "", F.trim(F.coalesce(name, F.lit("")))).when(k["given"] == "", k["surname"]).otherwise(F.concat_ws(", ", k["surname"], k["given"]))
+    return let(parse(name), lambda p: let(F.struct(F.array_join(p["surname"], " ").alias("surname"), given(p).alias("given")), shown))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -85,10 +90,20 @@ def token_set_ratio(a: Column, b: Column) -> Column:
 
 def surname_variants(name: Column) -> Column:
     """What may have been meant as the surname: it, and every one, two or three neighbouring tokens run together."""
-    p = parse(name)
-    every = F.concat(p["surname"], p["given"])
-    grams = F.flatten(F.transform(every, lambda t, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(every) - i)), lambda k: F.array_join(F.slice(every, i + 1, k), ""))))
-    return F.filter(F.array_distinct(F.concat(F.array(F.array_join(p["surname"], "")), grams)), lambda v: F.length(v) >= 2)
+
+    def variants(whole: Column, every: Column) -> Column:
+        grams = F.flatten(F.transform(every, lambda t, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(every) - i)), lambda k: F.array_join(F.slice(every, i + 1, k), ""))))
+        return F.filter(F.array_distinct(F.concat(F.array(whole), grams)), lambda v: F.length(v) >= 2)
+
+    return let(parse(name), lambda p: let(F.concat(p["surname"], p["given"]), lambda every: variants(F.array_join(p["surname"], ""), every)))
+
+
+def with_keys(rows: DataFrame, name: str) -> DataFrame:
+    """Adds surname, given, key, display and variants (joined by commas) of a column of names. Each distinct name is parsed once."""
+    raw, p = F.col("__name"), parse(F.col("__name"))
+    known = rows.select(F.col(name).alias("__name")).distinct()
+    known = known.select("__name", let(p, lambda q: F.array_join(q["surname"], " ")).alias("surname"), let(p, lambda q: F.array_join(q["given"], " ")).alias("given"), canonical_key(raw).alias("key"), display_name(raw).alias("display"), F.array_join(surname_variants(raw), ",").alias("variants"))
+    return rows.join(known, F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
 
 
 def split_people(names: Column) -> Column:

@@ -131,9 +131,7 @@ def split_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X05_X06_X07_X17_name_keys")
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.col("raw")
-    p = names.parse(raw)
-    return _raw_names(spark, sf_dir).select("p_partkey", "raw", F.array_join(p["surname"], " ").alias("surname"), F.array_join(p["given"], " ").alias("given"), names.canonical_key(raw).alias("key"), names.display_name(raw).alias("display"), F.array_join(names.surname_variants(raw), ",").alias("variants"))
+    return names.with_keys(_raw_names(spark, sf_dir), "raw")
 
 
 @query("X08_X09_X16_edit_similarity", f"""WITH n AS (SELECT DISTINCT p_brand, p_name AS raw FROM part), a AS (SELECT p_brand, raw, {_TOKENS} AS tk FROM n), b AS (SELECT p_brand, raw AS other, tk AS tk_b FROM a)
