@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 DAYS = ["M W", "T TH", "W F", "M TH", "MWF", "S", "TTH"]
 #: The term whose holders are hidden and predicted; earlier ones are history.
 TARGET = 1291
@@ -16,7 +18,10 @@ BACKTEST = (1273, 1281, 1282, 1283)
 
 
 def offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical rows, one per seat: course_code, term, section, prof_key, days, time_start, room, seq."""
+    """Canonical rows, one per seat: course_code, term, section, prof_key, days, time_start, room, seq.
+
+    They are written to the shared folder, so that a plan which uses them in many places reads the line items once.
+    """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_type")
     year, month = F.year("l_shipdate"), F.month("l_shipdate")
@@ -29,7 +34,7 @@ def offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*(F.lit(d) for d in DAYS)), F.col("l_linenumber") % 7 + 1).alias("days"), clock.alias("time_start"),
         F.col("p_type").alias("room"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
     first = rows.groupBy("course_code", "term", "section").agg(F.min(F.struct("seq", "prof_key", "days", "time_start", "room")).alias("r"))
-    return first.select("course_code", "term", "section", "r.*")
+    return cut(first.select("course_code", "term", "section", "r.*"))
 
 
 def raw_offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
