@@ -20,8 +20,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8) the document of the smallest id stays."""
-    return simhash.first_of_each(docs, words=5, similarity=0.8)
+    """Of each group of near-duplicates (SimHash prints of three-word shingles, two differing bits at most) the document of the smallest id stays."""
+    return simhash.first_of_each(docs, words=3, distance=2)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
