@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import semester
 from ..functions.names import canonical_key, is_tba, split_people
+from .lineage import cut
 
 #: Hours after which a scan that named nobody is stale.
 TTL_MS = 6 * 60 * 60 * 1000
@@ -14,11 +15,17 @@ NOBODY = "__TBA__"
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """Co-holders split into rows, text trimmed, sections upper case, and nobody's name blank. Rows without a section go."""
-    one = rows.withColumn("instructor", F.explode(split_people(F.col("instructor"))))
+    """Co-holders split into rows, text trimmed, sections upper case, and nobody's name blank. Rows without a section go.
+
+    Each distinct text of instructor is parsed once and written, and joined to its rows.
+    """
+    said = rows.select(F.col("instructor").alias("__said")).distinct()
     named = F.trim(F.coalesce("instructor", F.lit("")))
-    one = one.withColumn("section", F.upper(F.trim(F.coalesce("section", F.lit(""))))).withColumn("instructor", F.when(is_tba(named), "").otherwise(named))
-    return one.withColumn("prof_key", F.when(F.col("instructor") == "", "").otherwise(canonical_key(F.col("instructor")))).filter("section <> ''")
+    one = said.withColumn("instructor", F.explode(split_people(F.col("__said")))).withColumn("instructor", F.when(is_tba(named), "").otherwise(named))
+    one = cut(one.withColumn("__key", F.when(F.col("instructor") == "", "").otherwise(canonical_key(F.col("instructor")))))
+    at = rows.withColumnRenamed("instructor", "__raw").withColumn("section", F.upper(F.trim(F.coalesce("section", F.lit(""))))).filter("section <> ''")
+    at = at.join(one, F.col("__raw").eqNullSafe(F.col("__said")))
+    return at.select(*rows.columns, F.col("__key").alias("prof_key"))
 
 
 def dedupe(rows: DataFrame) -> DataFrame:

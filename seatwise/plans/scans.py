@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scan
-from ..operators.lineage import shared_dir
+from ..operators.lineage import cut, shared_dir
 from .adapter import TARGET, raw_offerings
 from .tables import ORACLES as _TABLES
 
@@ -33,12 +33,12 @@ HIDDEN = 1283
 def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, DataFrame, DataFrame]]]:
     """What is wanted, and the sources: pages of the site (fails where course and term are 0 modulo 5, empty at 1, one page only at 2), and an interface (fails at 0 modulo 3)."""
     rows = raw_offerings(spark, sf_dir).withColumn("instructor", F.when(F.col("term") >= HIDDEN, "TBA").otherwise(F.regexp_replace("instructor", "^.* AND ", "T9 AND ")))
-    rows = rows.select("course_code", "term", "section", "instructor", F.lit("").alias("days"), F.lit("").alias("time_start"), "seq")
     mark = F.regexp_extract("course_code", r"(\d+)$", 1).cast("int") + F.col("term")
-    wanted = rows.select("course_code", "term").distinct()
+    rows = cut(rows.select("course_code", "term", "section", "instructor", F.lit("").alias("days"), F.lit("").alias("time_start"), "seq", mark.alias("mark")))  # read by each run and source
+    wanted = cut(rows.select("course_code", "term").distinct())
     pages = wanted.select("*", (mark % 5 != 0).alias("ok"), F.when(mark % 5 == 2, 1).otherwise(3).alias("pages"), (mark % 5 != 2).alias("exhausted"))
     api = wanted.select("*", (mark % 3 != 0).alias("ok"), F.lit(None).cast("int").alias("pages"), F.lit(None).cast("boolean").alias("exhausted"))
-    return wanted, [("dom", pages, rows.filter((mark % 5).isin(2, 3, 4))), ("api", api, rows.filter(mark % 3 != 0))]
+    return wanted, [("dom", pages, rows.filter((F.col("mark") % 5).isin(2, 3, 4))), ("api", api, rows.filter(F.col("mark") % 3 != 0))]
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[str, list[DataFrame]]:
