@@ -69,11 +69,11 @@ def _node(text: Column, kind: Column, path: Column) -> Column:
 
 
 def _below(entry: Column, lists: str) -> Column:
-    """The nodes that an entry leads to. lists: of lists the first ITEMS that are no scalars (head), the list as a node (node), or none (skip)."""
+    """The nodes that an entry leads to. lists: of lists the first ITEMS that are no scalars (head), the list as a node, where a list is in it (node), or none (skip)."""
     none = F.array().cast(_NODE)
     own = F.array(_node(entry["text"], entry["kind"], entry["path"])).cast(_NODE)
     if lists == "node":
-        return F.when(entry["kind"].isin("OBJECT", "ARRAY"), own).otherwise(none)
+        return F.when(entry["kind"].isin("OBJECT", "ARRAY") & (F.locate("[", entry["text"], 2) > 0), own).otherwise(none)
     out = F.when(entry["kind"] == "OBJECT", own)
     if lists == "head":
         head = F.slice(items(entry["text"]), 1, ITEMS)
@@ -163,7 +163,7 @@ def record_array(text: Column) -> Column:
     out = lambda e: F.struct(e["path"].alias("path"), e["text"].alias("text"))
     root = (kind_of(text) == "ARRAY") & ((F.size(F.from_json(text, "array<string>")) == 0) | ((head(text)["kind"] == "OBJECT") & looks_like_row(head(text)["text"])))
     best = let(rated, lambda r: F.coalesce(F.get(F.filter(r, lambda e: looks_like_row(head(e["text"])["text"])), F.lit(0)), F.array_max(r)))
-    return F.when(root, F.struct(F.lit("").alias("path"), text.alias("text"))).otherwise(F.when(F.size(lists) > 0, let(best, out)))
+    return F.when(root, F.struct(F.lit("").alias("path"), text.alias("text"))).otherwise(let(best, lambda e: F.when(e.isNotNull(), out(e))))
 
 
 def page_info(text: Column) -> Column:
