@@ -6,7 +6,10 @@ One row stays for each course, term and section: the first by seq.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
@@ -20,27 +23,38 @@ BACKTEST = (1273, 1281, 1282, 1283)
 def offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical rows, one per seat: course_code, term, section, prof_key, days, time_start, room, seq.
 
-    They are written to the shared folder, so that a plan which uses them in many places reads the line items once.
+    They are written to the shared folder, so that a plan which uses them in many places reads the line items once. The first
+    seq of each seat is found in numbers, which hash aggregation takes; only lines of such a seq are then made into whole rows.
     """
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_type")
-    year, month = F.year("l_shipdate"), F.month("l_shipdate")
-    suffix = F.element_at(F.array(F.lit(""), F.lit("1"), F.lit("-1L")), F.col("l_linenumber") % 3 + 1)
+    seq = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_partkey", "l_suppkey", "l_linenumber", ((120 + F.year("l_shipdate") - 1992) * 10 + 1 + F.floor((F.month("l_shipdate") - 1) / 4)).cast("int").alias("term"),
+        (F.col("l_linenumber") % 3).alias("__n"), seq.alias("seq"), F.coalesce(seq, F.lit(2**63 - 1)).alias("__at"))
+    part = shuffled_parts(spark, sf_dir, F.col("p_brand").alias("course_code"), (F.col("p_size") % 8).alias("__s"), "p_type")
+    key, at = ["course_code", "term", "__s", "__n"], F.col("l_partkey") == F.col("p_partkey")
+    first = cut(line.select("l_partkey", "term", "__n", "__at").join(part.drop("p_type"), at).groupBy(*key).agg(F.min("__at").alias("__at")))
+    few = line.join(first.select("__at").distinct(), "__at", "left_semi").join(part, at)
+    own = reduce(and_, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*key, "__at")))
+    few = few.alias("x").join(first.alias("y"), own, "left_semi")
+    suffix = F.element_at(F.array(F.lit(""), F.lit("1"), F.lit("-1L")), F.col("__n") + 1)
     hour = 7 + F.col("l_partkey") % 10
     clock = F.when(hour < 12, F.concat(hour.cast("string"), F.lit(":00 AM"))).when(hour == 12, "12:00 PM").otherwise(F.concat((hour - 12).cast("string"), F.lit(":30")))
-    rows = line.join(part, line.l_partkey == part.p_partkey).select(
-        F.col("p_brand").alias("course_code"), ((120 + year - 1992) * 10 + 1 + F.floor((month - 1) / 4)).cast("int").alias("term"),
-        F.concat(F.char(65 + F.col("p_size") % 8), suffix).alias("section"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("prof_key"),
-        F.element_at(F.array(*(F.lit(d) for d in DAYS)), F.col("l_linenumber") % 7 + 1).alias("days"), clock.alias("time_start"),
-        F.col("p_type").alias("room"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
-    first = rows.groupBy("course_code", "term", "section").agg(F.min(F.struct("seq", "prof_key", "days", "time_start", "room")).alias("r"))
-    return cut(first.select("course_code", "term", "section", "r.*"))
+    rows = few.select(
+        "course_code", "term", F.concat(F.char(65 + F.col("__s")), suffix).alias("section"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("prof_key"),
+        F.element_at(F.array(*(F.lit(d) for d in DAYS)), F.col("l_linenumber") % 7 + 1).alias("days"), clock.alias("time_start"), F.col("p_type").alias("room"), "seq", "__at")
+    one = rows.groupBy("course_code", "term", "section").agg(F.min(F.struct("__at", "prof_key", "days", "time_start", "room", "seq")).alias("r"))
+    return cut(one.select("course_code", "term", "section", "r.prof_key", "r.days", "r.time_start", "r.room", "r.seq"))
+
+
+def shuffled_parts(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """Parts to be joined by p_partkey: shuffled like the line items, since a broadcast of them passes through the driver and grows with the input."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *columns).hint("shuffle_hash")
 
 
 def raw_offerings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as they are scanned: several per seat, some with nobody named (order priority 5), co-holders joined by AND."""
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_size", "p_name")
+    part = shuffled_parts(spark, sf_dir, "p_brand", "p_size", "p_name")
     year, month = F.year("l_shipdate"), F.month("l_shipdate")
     named = F.when(F.col("l_linenumber") % 5 == 0, "TBA").when(F.col("l_linenumber") % 4 == 0, F.concat(F.col("p_name"), F.lit(" AND S"), F.col("l_suppkey").cast("string"))).otherwise(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
     return line.join(part, line.l_partkey == part.p_partkey).select(
