@@ -153,7 +153,7 @@ def partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _full(seats: DataFrame, ev: DataFrame) -> DataFrame:
     """All features, the partner ones from first guesses; heuristic and specialists on them."""
-    alone = history.heuristic(history.features(seats, ev))
+    alone = cut(history.heuristic(history.features(seats, ev)))  # the guesses and the rows they fill both read it
     filled = cohorts.partner_features(alone.drop("heuristic"), ensemble.first_guesses(alone), ev)
     return ensemble.specialists(history.heuristic(filled))
 

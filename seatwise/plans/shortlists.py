@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import names
 from ..operators import ensemble, history, learn, shortlist
+from ..operators.lineage import cut
 from .adapter import BACKTEST, OFFERINGS_SQL, TARGET, offerings
 from .prediction import BLEND, DIGITS, FEATURES, MODELS, TERM_SQL, _full, _parts, _rounded, _targets
 from .scalars import _RAW, _VALID, _YEAR
@@ -108,7 +109,7 @@ def half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = history.heuristic(history.features(seats, history.evidence(rows, terms, h), h)).withColumn("heuristic", F.round("heuristic", 9))
         ranked = ensemble.ranks(scored, ["heuristic"])
         tried.append(shortlist.accuracy(ranked, seats).withColumn("half_life", F.lit(h)))
-    return _rounded(shortlist.choose_half_life(reduce(DataFrame.unionByName, tried), cal.HALF_LIFE).select("half_life", "top1", "topn", "chosen"))
+    return _rounded(shortlist.choose_half_life(cut(reduce(DataFrame.unionByName, tried)), cal.HALF_LIFE).select("half_life", "top1", "topn", "chosen"))
 
 
 @query("E15_vote_recipes")
@@ -116,7 +117,7 @@ def vote_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortlist accuracy over the backtest with the ways of voting; 0 is as usual."""
     _, ev, seats = _parts(spark, sf_dir, BACKTEST)
     scored = ensemble.blend(_full(seats, ev), BLEND).withColumns({m: F.round(m, 9) for m in MODELS}).withColumn("score", F.round("score", 9))
-    tried = shortlist.accuracy_by(shortlist.recipe_ranks(scored, BLEND), seats, "recipe")
+    tried = cut(shortlist.accuracy_by(shortlist.recipe_ranks(scored, BLEND), seats, "recipe"))  # the choice reads it twice
     return _rounded(shortlist.choose_recipe(tried).select("recipe", "top1", "topn", "chosen"))
 
 
