@@ -177,5 +177,5 @@ def mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean confidence of each course's open seats; of a course without any its measured share of first places."""
     fit = Fit(spark, sf_dir).warm()
     mean = weighting.confidence(fit.second(), fit.top1).groupBy("course_code").agg(F.avg("confidence").alias("mean"))
-    every = offerings(spark, sf_dir).select("course_code").distinct().join(mean, "course_code", "left").join(fit.top1, "course_code", "left")
+    every = fit.rows.select("course_code").distinct().join(mean, "course_code", "left").join(fit.top1, "course_code", "left")
     return every.select("course_code", F.round(F.coalesce("mean", 100 * F.col("top1"), F.lit(0.0)), 4).alias("confidence"))
