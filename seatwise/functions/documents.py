@@ -86,8 +86,8 @@ def kind_of(text: Column) -> Column:
     return _kind(F.try_parse_json(text))
 
 
-def entries(text: Column, depth: int, lists: str = "head") -> Column:
-    """Entries (key, text, kind, path, depth) of a document down to depth, level by level; all of a node's before those below it. Empty for what is no JSON list or object."""
+def entries(text: Column, depth: int, lists: str = "head", kind: Column | None = None) -> Column:
+    """Entries (key, text, kind, path, depth) of a document down to depth, level by level; all of a node's before those below it. Empty for what is no JSON list or object. kind: the document's, if known."""
 
     def level(nodes: Column, d: int) -> Column:
         found = F.flatten(F.transform(nodes, lambda n: _entries_of(n, d)))
@@ -95,7 +95,7 @@ def entries(text: Column, depth: int, lists: str = "head") -> Column:
             return found
         return let(found, lambda here: F.concat(here, level(F.flatten(F.transform(here, lambda e: _below(e, lists))), d + 1)))
 
-    return F.coalesce(level(F.array(_node(text, kind_of(text), F.lit(""))).cast(_NODE), 0), F.array().cast(_ENTRY))
+    return F.coalesce(level(F.array(_node(text, kind_of(text) if kind is None else kind, F.lit(""))).cast(_NODE), 0), F.array().cast(_ENTRY))
 
 
 def filled(e: Column) -> Column:
@@ -107,9 +107,14 @@ def scalar(e: Column) -> Column:
     return e["text"].isNotNull() & e["kind"].isin("STRING", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
+def keyed(e: Column, keys: list[str]) -> Column:
+    """Whether an entry's key in lower case is one of keys, which are ASCII: only A to Z and the Kelvin sign become ASCII letters, so lower(), which took most of a search's time, isn't called for keys without any."""
+    return e["key"].isin(keys) | (e["key"].rlike("[A-Z\u212a]") & F.lower(e["key"]).isin(keys))
+
+
 def matching(listed: Column, keys: list[str], accept: Callable[[Column], Column] = filled, depth: int | None = None) -> Column:
     near = lambda e: F.lit(True) if depth is None else e["depth"] <= depth
-    return F.filter(listed, lambda e: F.lower(e["key"]).isin(keys) & near(e) & accept(e))
+    return F.filter(listed, lambda e: keyed(e, keys) & near(e) & accept(e))
 
 
 def find(listed: Column, keys: list[str], accept: Callable[[Column], Column] = filled, depth: int | None = None) -> Column:
@@ -147,23 +152,43 @@ def resolved_name(text: Column, kind: Column, depth: int = 3) -> Column:
     return F.coalesce(plain.when(kind.isin("ARRAY", "OBJECT"), let(own, named)), F.lit(""))
 
 
-def looks_like_row(text: Column) -> Column:
-    """Whether an object has, within two levels of objects, a course or a section: a filled scalar, or an object with a code, name, label or id."""
+def looks_like_row(text: Column, kind: Column | None = None) -> Column:
+    """Whether an object has, within two levels of objects, a course or a section: a filled scalar, or an object with a code, name, label or id.
+
+    Level by level, scalars first: once one tells, nothing below is parsed. kind: the document's, if known.
+    """
     inner = lambda e: F.exists(_entries_of(_node(e["text"], e["kind"], F.lit("")), 0), lambda x: x["key"].isin("code", "name", "label", "id") & filled(x))
-    tells = lambda e: (scalar(e) & (F.trim(e["text"]) != "")) | ((e["kind"] == "OBJECT") & inner(e))
-    return F.size(matching(entries(text, 2, "skip"), ROW_COURSE + ROW_SECTION, tells)) > 0
+    row = lambda e: keyed(e, ROW_COURSE + ROW_SECTION)
+    tells = lambda listed: F.exists(listed, lambda e: row(e) & scalar(e) & (F.trim(e["text"]) != "")) | F.exists(listed, lambda e: row(e) & (e["kind"] == "OBJECT") & inner(e))
+
+    def level(nodes: Column, d: int) -> Column:
+        found = F.flatten(F.transform(nodes, lambda n: _entries_of(n, d)))
+        return let(found, lambda here: tells(here) if d == 2 else tells(here) | level(F.flatten(F.transform(here, lambda e: _below(e, "skip"))), d + 1))
+
+    return F.coalesce(level(F.array(_node(text, kind_of(text) if kind is None else kind, F.lit(""))).cast(_NODE), 0), F.lit(False))
+
+
+def record_list(text: Column) -> Column:
+    """Where a response holds its rows: struct path, text, rows (the list's elements as JSON). The root, if it is a list whose head looks like a row
+    (or is empty); else the list nearest to the root whose head does; else the longest list of objects, the nearest of equals; else null."""
+    texts = lambda t: F.from_json(t, "array<string>")
+    of_objects = lambda t: _kind(F.get(F.from_json(t, "array<variant>"), F.lit(0))) == "OBJECT"
+    row = lambda r: looks_like_row(F.get(r, F.lit(0)), F.lit("OBJECT"))
+    out = lambda e: F.struct(e["path"].alias("path"), e["text"].alias("text"), e["rows"].alias("rows"))
+
+    def inside(kind: Column) -> Column:
+        lists = F.filter(entries(text, 5, "node", kind), lambda e: (e["kind"] == "ARRAY") & of_objects(e["text"]))
+        rated = F.transform(lists, lambda e, i: let(texts(e["text"]), lambda r: F.struct(F.size(r).alias("n"), (-i).alias("order"), e["path"].alias("path"), e["text"].alias("text"), r.alias("rows"))))
+        best = let(rated, lambda found: F.coalesce(F.get(F.filter(found, lambda e: row(e["rows"])), F.lit(0)), F.array_max(found)))
+        return let(best, lambda e: F.when(e.isNotNull(), out(e)))
+
+    root = let(F.struct(F.lit("").alias("path"), text.alias("text"), texts(text).alias("rows")), lambda e: F.when((F.size(e["rows"]) == 0) | (of_objects(text) & row(e["rows"])), e))
+    return let(kind_of(text), lambda kind: F.coalesce(F.when(kind == "ARRAY", root), inside(kind)))
 
 
 def record_array(text: Column) -> Column:
-    """Where a response holds its rows: struct path, text. The root, if it is a list whose head looks like a row (or is empty);
-    else the list nearest to the root whose head does; else the longest list of objects, the nearest of equals; else null."""
-    head = lambda listed: F.get(items(listed), F.lit(0))
-    lists = F.filter(entries(text, 5, "node"), lambda e: (e["kind"] == "ARRAY") & (head(e["text"])["kind"] == "OBJECT"))
-    rated = F.transform(lists, lambda e, i: F.struct(F.size(F.from_json(e["text"], "array<string>")).alias("n"), (-i).alias("order"), e["path"].alias("path"), e["text"].alias("text")))
-    out = lambda e: F.struct(e["path"].alias("path"), e["text"].alias("text"))
-    root = (kind_of(text) == "ARRAY") & ((F.size(F.from_json(text, "array<string>")) == 0) | ((head(text)["kind"] == "OBJECT") & looks_like_row(head(text)["text"])))
-    best = let(rated, lambda r: F.coalesce(F.get(F.filter(r, lambda e: looks_like_row(head(e["text"])["text"])), F.lit(0)), F.array_max(r)))
-    return F.when(root, F.struct(F.lit("").alias("path"), text.alias("text"))).otherwise(let(best, lambda e: F.when(e.isNotNull(), out(e))))
+    """record_list without the rows."""
+    return let(record_list(text), lambda e: F.when(e.isNotNull(), F.struct(e["path"].alias("path"), e["text"].alias("text"))))
 
 
 def page_info(text: Column) -> Column:

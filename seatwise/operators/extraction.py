@@ -7,21 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as d
 
-_FIELDS = ("section", "instructor", "days", "time_start", "time_end", "room", "class_id", "status")
-
-
-def _record(listed: Column) -> Column:
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    at = F.struct(d.section_of(listed).alias("section"), d.instructor_of(listed).alias("instructor"), d.schedule_of(listed).alias("schedule"))
-    own = lambda k: d.find(listed, [k], lambda e: e["text"].isNotNull() & (e["kind"] != "VOID"), 0)["text"]
-    told = F.struct(F.coalesce(own("id"), own("class_id"), own("class_nbr")).alias("class_id"), blank(d.find(listed, d.STATUS, depth=2)["text"]).alias("status"))
-    path = lambda what, p: F.when(p.isNotNull(), F.concat(F.lit(f"{what}:"), p))
-    return d.let(F.struct(at.alias("at"), told.alias("told")), lambda r: F.struct(
-        blank(r["at"]["section"]["value"]).alias("section"), blank(r["at"]["instructor"]["value"]).alias("instructor"),
-        *(r["at"]["schedule"][n].alias(n) for n in ("days", "time_start", "time_end", "room")), r["told"]["class_id"].alias("class_id"), r["told"]["status"].alias("status"),
-        F.concat(F.array_compact(F.array(path("section", r["at"]["section"]["path"]), F.coalesce(path("instructor", r["at"]["instructor"]["path"]), F.lit("instructor missing")))),
-                 F.transform(r["at"]["schedule"]["paths"], lambda p: F.concat(F.lit("schedule:"), p))).alias("paths")))
-
 
 def records(docs: DataFrame, doc_col: str, course: Column) -> DataFrame:
     """docs without doc_col, with section, instructor, days, time_start, time_end, room, class_id, status and paths (what:path of each field found).
@@ -35,9 +20,23 @@ def records(docs: DataFrame, doc_col: str, course: Column) -> DataFrame:
 def located(docs: DataFrame, doc_col: str, course: Column) -> DataFrame:
     """records, with the rows that have no section."""
     once = lambda df, name, value: df.select("*", F.explode(F.array(value)).alias(name))  # noqa: E731  what filters look at isn't worked out again for them
-    at = once(docs.filter(d.kind_of(F.col(doc_col)) == "OBJECT"), "__entries", d.entries(F.col(doc_col), 4))
-    at = once(at.filter(d.course_fits(F.col("__entries"), course)), "__record", _record(F.col("__entries")))
-    return at.select(*(c for c in docs.columns if c != doc_col), *(F.col(f"__record.{f}").alias(f) for f in _FIELDS), F.col("__record.paths").alias("paths"))
+    at = once(docs.filter(d.kind_of(F.col(doc_col)) == "OBJECT"), "__entries", d.entries(F.col(doc_col), 4, kind=F.lit("OBJECT")))
+    listed = F.col("__entries")
+    at = once(at.filter(d.course_fits(listed, course)), "__section", d.section_of(listed))
+    own = lambda k: d.find(listed, [k], lambda e: e["text"].isNotNull() & (e["kind"] != "VOID"), 0)["text"]
+    # Columns of their own: what a query doesn't ask for isn't searched.
+    at = at.withColumns({
+        "__instructor": d.instructor_of(listed), "__schedule": d.schedule_of(listed),
+        "__id": F.coalesce(own("id"), own("class_id"), own("class_nbr")), "__status": d.find(listed, d.STATUS, depth=2)["text"],
+    })
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    path = lambda what: F.when(F.col(f"__{what}.path").isNotNull(), F.concat(F.lit(f"{what}:"), F.col(f"__{what}.path")))
+    paths = F.concat(
+        F.array_compact(F.array(path("section"), F.coalesce(path("instructor"), F.lit("instructor missing")))),
+        F.transform("__schedule.paths", lambda p: F.concat(F.lit("schedule:"), p)))
+    return at.select(
+        *(c for c in docs.columns if c != doc_col), blank("__section.value").alias("section"), blank("__instructor.value").alias("instructor"),
+        *(F.col(f"__schedule.{n}").alias(n) for n in ("days", "time_start", "time_end", "room")), F.col("__id").alias("class_id"), blank("__status").alias("status"), paths.alias("paths"))
 
 
 def field_report(found: DataFrame) -> DataFrame:
@@ -55,6 +54,6 @@ def document_paths(docs: DataFrame, doc_col: str, depth: int = 4) -> DataFrame:
 
 def responses(pages: DataFrame, doc_col: str) -> DataFrame:
     """pages without doc_col, with path (of the list that holds the rows; null without one), rows (its elements as JSON), last_page, page, total."""
-    at = pages.withColumn("__list", d.record_array(F.col(doc_col))).withColumn("__info", d.page_info(F.col(doc_col)))
-    rows = F.coalesce(F.from_json("__list.text", "array<string>"), F.array().cast("array<string>"))
+    at = pages.withColumn("__list", d.record_list(F.col(doc_col))).withColumn("__info", d.page_info(F.col(doc_col)))
+    rows = F.coalesce(F.col("__list.rows"), F.array().cast("array<string>"))
     return at.select(*(c for c in pages.columns if c != doc_col), F.col("__list.path").alias("path"), rows.alias("rows"), "__info.last_page", "__info.page", "__info.total")
