@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, text_buffers
+from .common import batches_of, cut, drop, text_buffers
 
 #: Letters A-Z lower-cased, and every ASCII byte that is neither letter nor digit a space; bytes of other characters stay.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
-#: Bytes of one text that are handled at a time, and entries of a block of the matrix.
-PIECE, BLOCK = 1 << 20, 1 << 15
+#: Bytes of one text that are handled at a time, entries of a block of the matrix, and blocks that are read at a time.
+PIECE, BLOCK, BLOCKS = 1 << 20, 1 << 15, 16
 
 
 def buckets_of(text: bytes, longest: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -132,7 +132,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
     Features are runs of up to longest words (letters, digits and non-ASCII characters; A-Z in lower case), hashed by CRC-32 into
     buckets. The counts are written once, as blocks of a compressed matrix that both passes read: column sums give the
-    distributions, and a product with the gains gives the weights. Only numbers for each bucket meet on the driver.
+    distributions, and a product with the gains gives the weights. Both read a few blocks at a time, however large a task's
+    share of the table is. Only numbers for each bucket meet on the driver.
     Ranks are numbered within ranges of scores, from counts of the ranges before.
 
     Null and empty texts have no words, weight 0 and no rank. Equal scores rank the smaller id first, null ids last; a null id's noise is
@@ -140,13 +141,13 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     one entry for each bucket. Empty tables give an empty result, or gains of an empty target. Other columns aren't read.
     """
     spark = docs.sparkSession
-    matrix = cut(count_matrix(docs, id_col, text_col, longest, buckets), "matrix")
-    wanted = column_sums(count_matrix(target.withColumn("__n", F.lit(0)), "__n", target_text, longest, buckets), buckets)
-    weighed = importance_weights(matrix, gains(column_sums(matrix, buckets), wanted))
-    digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8)
-    uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296.0
-    scored = weighed.withColumn("score", F.col("weight") + F.floor(-1000 * F.log(-F.log(uniform))))
-    scored = cut(scored, "scored")
+    matrix = cut(count_matrix(docs, id_col, text_col, longest, buckets), "matrix", BLOCKS)
+    with batches_of(spark, BLOCKS):
+        wanted = column_sums(count_matrix(target.withColumn("__n", F.lit(0)), "__n", target_text, longest, buckets), buckets)
+        weighed = importance_weights(matrix, gains(column_sums(matrix, buckets), wanted))
+        digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8)
+        uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / 4294967296.0
+        scored = cut(weighed.withColumn("score", F.col("weight") + F.floor(-1000 * F.log(-F.log(uniform)))), "scored")
     drop(spark, matrix)
     fit = F.col("words") >= least_words
     order = [F.desc("score"), F.col("id").asc_nulls_last()]
