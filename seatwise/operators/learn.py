@@ -133,7 +133,7 @@ def importances(examples: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["target", "section", "cand_seq", "prof_key"])
         y = pdf.label.to_numpy(float)
         if len(pdf) < LEAST_ROWS or not 0 < y.sum() < len(y):
-            return pd.DataFrame({"course_code": [], "feature": [], "importance": []})
+            return pd.DataFrame([], columns=["course_code", "feature", "importance"], dtype=object)  # empty columns of numbers can't become strings
         _, gains = fit_forest(pdf[FEATURES].to_numpy(float), y, **FOREST)
         return pd.DataFrame({"course_code": pdf.course_code.iloc[0], "feature": FEATURES, "importance": gains})
 
